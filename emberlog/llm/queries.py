@@ -8,23 +8,47 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import bpe, packing
+from emberlog.llm import bpe, exact_dedup, language, packing, sharding
 from emberlog.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+SHARDS = 40
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), VOCABULARY).withColumnRenamed("id", "doc_id")
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), SHARDS)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op7_language_id": op7_language_id,
     "op9_bpe": op9_bpe,
+    "op10_sharding": op10_sharding,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+        WINDOW w AS (PARTITION BY t)
+    """,
+}
