@@ -8,17 +8,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import bpe, exact_dedup, language, packing, sharding
+from emberlog.llm import ann, bpe, exact_dedup, language, packing, sharding, url_filter
 from emberlog.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SHARDS = 40
+# The stated rules, and words of hosts that are known to be bad.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+BAD_WORDS = ["ads", "bets", "casino", "pills"]
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels: a page is bad if its labels row is toxic or its host holds one of BAD_WORDS."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    toxic = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("toxic"))
+    known = pages.join(toxic, "page_id").withColumns({"host": url_filter.host_of("url"), "path": url_filter.path_of("url")})
+    known = known.withColumn("tokens", url_filter.tokens_of("host", "path"))
+    bad = (F.col("toxic") == 1) | F.arrays_overlap("tokens", F.array(*map(F.lit, BAD_WORDS)))
+    return url_filter.judge(pages, URL_RULES, url_filter.mine(known.select("tokens", bad.alias("bad"))))
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, 10)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
 
@@ -38,6 +55,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_url_filter": op3_url_filter,
+    "op4_nearest": op4_nearest,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language_id": op7_language_id,
     "op9_bpe": op9_bpe,
