@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import ann, bpe, exact_dedup, language, packing, sharding, url_filter
+from emberlog.llm import ann, bpe, exact_dedup, jaccard, language, packing, sharding, url_filter
 from emberlog.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels: a page is bad if its labels row is toxic or its host holds one of BAD_WORDS."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -55,6 +59,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_url_filter": op3_url_filter,
     "op4_nearest": op4_nearest,
     "op6_exact_dedup": op6_exact_dedup,
