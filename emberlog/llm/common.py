@@ -69,13 +69,13 @@ BITS = 1 << 24
 _BLOCK = 1 << 16
 
 
-def key_bitmap(keys: DataFrame, key: str, bits: int = BITS) -> np.ndarray:
-    """A bitmap of `bits` bits over a hash of `key`: its size is fixed, whatever the number of keys.
+def key_bitmap(keys: DataFrame, key: str, bits: int = BITS, hashed: bool = False) -> np.ndarray:
+    """A bitmap of `bits` bits over a hash of `key` (or over `key`, if hashed): its size is fixed, whatever the number of keys.
 
     Every key that is in `keys` tests true; others do with the share of set bits. It only thins
     rows out before a shuffle; the join behind it decides. Built block by block on the executors.
     """
-    at = keys.select(F.pmod(F.xxhash64(key), F.lit(bits)).alias("b")).distinct()
+    at = keys.select(F.pmod(F.col(key) if hashed else F.xxhash64(key), F.lit(bits)).alias("b")).distinct()
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         on = np.zeros(_BLOCK, np.uint8)
