@@ -1,0 +1,161 @@
+from __future__ import annotations
+
+import random
+import re
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from emberlog.llm import ann, language, queries, secrets, sharding, url_filter
+
+
+def test_language_is_learned_from_its_share(docs, clashing, none, doc_rows):
+    rows = {r["doc_id"]: r for r in language.identify(docs).collect()}
+    assert len(rows) == len({d for d, *_ in doc_rows})
+    right = total = 0
+    for d, t, lang, *_ in doc_rows:
+        r = rows[d]
+        assert r["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2)
+        if not t or not any(map(str.isalpha, t)):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        elif r["held_out"] and lang and d < 120:
+            right, total = right + (r["lang_pred"] == lang), total + 1
+        assert 0 <= r["score"] <= 1
+    assert total > 15 and right / total > 0.95
+    assert language.identify(none).count() == 0
+    assert sorted(map(tuple, language.identify(clashing).collect())) == sorted(map(tuple, language.identify(docs).collect()))
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in language.identify(unlabelled).collect()} == {"und"}
+
+
+def test_language_ignores_lang_id_and_source(docs):
+    model = language.fit_documents(docs)
+    a = language.predict(docs, model).select("doc_id", "lang_pred", "score")
+    b = language.predict(docs.withColumns({"lang": F.lit("xx"), "source": F.lit("s")}), model).select("doc_id", "lang_pred", "score")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_one_language_and_new_families(spark):
+    rng = random.Random(1)
+    rows = [(k, "".join(rng.choices("abc ", k=60)), "qq") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language.identify(df).collect()} == {"qq"}
+
+
+URLS = [
+    "http://A.Example.COM/de/x?y", "https://www.example.net/en/1", "http://example.net/fr/", "http://x.org/fr/a#b", "http://org/fr/", "http://xnet/", "net", None, "",
+    "ftp://net?x://y/", "http://host#f/de/", "a://b://c/d", "http://cheap.casino.test/", "http://example.com", "HTTP://EXAMPLE.COM/de/",
+]
+
+
+def brute_judge(url):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    found = [(len(h + p), h + p, v) for v, h, p in queries.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *(max(found)[1:] if found else (None, "allow"))
+
+
+def test_urls_follow_the_stated_rules(spark):
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string").withColumns({"host": F.lit(1), "id": F.lit(2)})
+    got = sorted(map(tuple, url_filter.judge(pages, queries.URL_RULES, []).drop("mined_rule").collect()))
+    assert got == [(k, *brute_judge(u)) for k, u in enumerate(URLS)]
+    mined = url_filter.judge(pages, queries.URL_RULES, [("casino", "cheap")]).where("mined_rule is not null").collect()
+    assert [(r["page_id"], r["verdict"], r["mined_rule"]) for r in mined] == [(12, "block", "casino+cheap")]
+
+
+def test_rules_are_mined_by_support_and_confidence(spark):
+    rows = [(["win", "casino", f"t{k % 5}"], True) for k in range(40)] + [(["win", f"t{k % 5}"], False) for k in range(200)] + [(["rare", "casino2"], True)] * 3
+    df = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    assert url_filter.mine(df, support=0.05, confidence=0.9) == [("casino",)]
+    assert url_filter.mine(df.where("not bad")) == [] and url_filter.mine(df.limit(0)) == []
+
+
+def vectors(spark, n=1500, dim=16):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, dim))
+    x = (centres[rng.integers(0, 12, n)] + 0.4 * rng.normal(size=(n, dim))).astype(np.float32)
+    x[700:1100] = x[700]  # a hot vector
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    rows += [(5000, None), (5100, [0.0] * dim), (5200, [float("nan")] + [1.0] * (dim - 1)), (5300, [float("inf")] * dim), (5400, [None] + [1.0] * (dim - 1)), (5500, [1.0] * 3)]
+    return x, spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+
+
+def test_neighbours_recall_and_ties(spark):
+    x, df = vectors(spark)
+    got = {}
+    for r in ann.nearest(df, F.col("id") % 100 == 0, 10).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(got) == list(range(0, 1500, 100))
+    hit = 0
+    for q, found in got.items():
+        found.sort()
+        dist = np.sqrt(((x.astype(np.float64) - x[q].astype(np.float64)) ** 2).sum(1))
+        ids = np.array([k for k in np.lexsort((np.arange(len(x)), dist)) if k != q])[:10]
+        hit += len(set(ids) & {v for _, v, _ in found})
+        assert [r for r, *_ in found] == list(range(1, 11)) and all(s == dist[v] for _, v, s in found)
+        if 700 <= q < 1100:
+            assert [v for _, v, _ in found] == [k for k in range(700, 712) if k != q][:10]
+    assert hit / (10 * len(got)) >= 0.9
+
+
+def test_neighbours_of_few_and_no_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, ann.nearest(df, F.col("id") == 0, 10).collect()))
+    assert got == [(0, 1, 2, 0.0), (0, 2, 1, 2**0.5)]
+    assert ann.nearest(df.limit(0), F.col("id") == 0, 10).count() == 0
+    assert ann.nearest(df, F.col("id") == 9, 10).count() == 0
+
+
+def test_a_wider_beam_encodes_no_worse():
+    x = np.random.default_rng(0).normal(size=(400, 8)).astype(np.float32)
+    books = ann.Codebooks(x, books=4, words=16)
+    error = [((x - books.decode(books.encode(x, b))) ** 2).sum() for b in (1, 8)]
+    assert error[1] < error[0] < (x**2).sum()
+
+
+def test_secrets_are_found_and_hashes_left(docs, clashing, none, doc_rows):
+    texts = {d: t for d, t, *_ in doc_rows}
+    for df in (docs, clashing):
+        rows = secrets.scan(df).collect()
+        assert all(texts[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["value"] for r in rows)
+        assert [(r["doc_id"], r["is_secret"]) for r in rows if r["doc_id"] in (177, 178)] == [(177, True), (178, False)] or {(r["doc_id"], r["is_secret"]) for r in rows if r["doc_id"] in (177, 178)} == {(177, True), (178, False)}
+        assert {r["doc_id"] for r in rows if r["is_secret"]} == {177}
+    assert secrets.scan(none).count() == 0
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert masked[177] == 'a token = "[SECRET]" here'
+    assert all(masked[d] == t for d, t in texts.items() if d != 177)
+    assert secrets.redact(clashing).columns == clashing.columns
+
+
+def test_the_forest_holds_out(spark):
+    held = secrets.labelled_findings(600, seed=99)
+    df = spark.createDataFrame([(k, b + v + a, p) for k, (v, b, a, p, _) in enumerate(held)], "doc_id long, text string, source string")
+    found = {r["doc_id"] for r in secrets.scan(df).where("is_secret").collect()}
+    right = sum((k in found) == bool(label) for k, (*_, label) in enumerate(held))
+    assert right / len(held) > 0.93
+
+
+def test_scan_plan_is_native(docs):
+    plan = secrets.scan(docs)._jdf.queryExecution().executedPlan().toString() + sharding.shard_by_bytes(docs, 4)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_shards_are_even_and_whole(docs, clashing, none, doc_rows):
+    for df in (docs, clashing):
+        rows = sharding.shard_by_bytes(df, 5).collect()
+        assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == sorted((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t, *_ in doc_rows)
+        for s in range(5):
+            assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+    assert sharding.shard_by_bytes(none, 5).count() == 0
+
+
+def test_shards_meet_the_tolerance_and_split_hot_groups(spark):
+    rows = [(k, "hot text" if k % 3 == 0 else f"text {k}" + "x" * (k % 50)) for k in range(6000)] + [(7, "same row")] * 3
+    out = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 8).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    sizes = [r["b"] for r in out]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) < 0.03 * sum(sizes) / 8
