@@ -38,7 +38,9 @@ PLACES = 64
 LIMIT = 48
 DEPTH = 3
 BLOCK = 128
-RECALL = 0.995
+RECALL = 0.999
+#: A bucket is split at one place, and at a second one with this chance: 1.25 places, the inverse of the threshold.
+SECOND = 0.25
 #: Agreeing places below which a pair at the threshold lies with a chance of less than 1 in 10,000.
 AGREE = 38
 
@@ -47,8 +49,8 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _STEP = [np.uint64(int(x) | 1) for x in _rng.integers(1, 2**63, WORDS)]
-_A = (_rng.integers(0, 2**32, PLACES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_B = _rng.integers(0, 2**32, PLACES, dtype=np.uint64).astype(np.uint32)
+_A = _rng.integers(0, 2**64, PLACES, dtype=np.uint64) | np.uint64(1)
+_B = _rng.integers(0, 2**64, PLACES, dtype=np.uint64)
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -98,18 +100,20 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _mix(out), size
 
 
-def sketches(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """(texts, PLACES) of 16 bits each; texts must have shingles."""
-    x = (hashes >> np.uint64(32)).astype(np.uint32)
+def minima(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(texts, PLACES) minwise values of 64 bits; texts must have shingles."""
     at = np.cumsum(size) - size
-    out = np.empty((len(size), PLACES), np.uint32)
+    out = np.empty((len(size), PLACES), np.uint64)
     for k in range(PLACES):
-        out[:, k] = np.minimum.reduceat(x * _A[k] + _B[k], at)
-    return ((out * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
+        out[:, k] = np.minimum.reduceat(hashes * _A[k] + _B[k], at)
+    return _mix(out)
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, c1, c2, sketch): a 128-bit key of the text's words, and its sketch (null without words). No shuffle."""
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
+    """(id, c1, c2, sketch, roots): a 128-bit key of the text's words, its sketch, and its whole values at the
+    places where runs begin (null without words). No shuffle."""
+    first = [place for r in range(runs_for(recall)) for place in _roots(r)]
+
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -124,20 +128,27 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 keys = np.frombuffer(b"".join(hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in group), "<i8").reshape(-1, 2)
                 hashes, size = shingles(group)
                 has = size > 0
-                marks = iter(sketches(hashes, size[has])) if has.any() else iter(())
-                yield pd.DataFrame({"id": ids[begin:at], "c1": keys[:, 0], "c2": keys[:, 1], "sketch": [next(marks).tobytes() if h else None for h in has]})
+                low = minima(hashes, size[has]) if has.any() else np.zeros((0, PLACES), np.uint64)
+                marks, roots = iter((low >> np.uint64(48)).astype(np.uint16)), iter(low[:, first])
+                sketch, root = ([next(of).tobytes() if h else None for h in has] for of in (marks, roots))
+                yield pd.DataFrame({"id": ids[begin:at], "c1": keys[:, 0], "c2": keys[:, 1], "sketch": sketch, "roots": root})
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    return own.mapInPandas(run, "id long, c1 long, c2 long, sketch binary")
+    return own.mapInPandas(run, "id long, c1 long, c2 long, sketch binary, roots binary")
 
 
 def runs_for(recall: float, depth: int = DEPTH) -> int:
     """Runs until a pair at the threshold is met with this chance.
 
-    A branching process with one child on average is alive after `depth` splits with a chance of at
-    least 1/(depth + 1) (Christiani, Pagh and Sivertsen); places that a pair shares come at the threshold.
+    A run is a branching process: each split has a place, and a second one with the chance SECOND, which the pair
+    shares with a chance of the threshold. `gone` is the chance that no branch is left after the first split
+    and `depth` more.
     """
-    return math.ceil(math.log(1 - recall) / math.log(1 - 1 / (depth + 1)))
+    share, gone = THRESHOLD[0] / THRESHOLD[1], 0.0
+    for _ in range(depth + 1):
+        lost = 1 - share + share * gone
+        gone = lost * (1 - SECOND + SECOND * lost)
+    return math.ceil(math.log(1 - recall) / math.log(gone))
 
 
 def _roots(run: int) -> list[int]:
@@ -150,18 +161,18 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), PLACES)
 
 
-def _first_split(reps: DataFrame, runs: int) -> DataFrame:
+def _first_split(reps: DataFrame) -> DataFrame:
+    """(key, rep): the buckets of all runs' first splits, by values of 64 bits, so that chance makes none."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            s, rep = _matrix(pdf["sketch"]).astype(np.uint64), pdf["rep"].to_numpy()
-            for r in range(runs):
-                for place in _roots(r):
-                    key = _mix(s[:, place] + np.uint64((r * PLACES + place + 1) << 20))
-                    yield pd.DataFrame({"key": key.astype(np.int64), "rep": rep})
+            roots = np.frombuffer(b"".join(pdf["roots"]), np.uint64).reshape(len(pdf), -1)
+            for k in range(roots.shape[1]):
+                yield pd.DataFrame({"key": _mix(roots[:, k] + np.uint64(k + 1)).astype(np.int64), "rep": pdf["rep"]})
 
-    return reps.select("rep", "sketch").mapInPandas(run, "key long, rep long")
+    return reps.select("rep", "roots").mapInPandas(run, "key long, rep long")
 
 
 def _split(rows: DataFrame) -> DataFrame:
@@ -202,12 +213,12 @@ def _by_key(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.Da
 
 
 def _small_buckets(rows: DataFrame) -> DataFrame:
-    """(a, b): pairs with agreeing sketches in the buckets of (key, rep, sketch)."""
+    """(a, b): a spanning forest of agreeing sketches in each of the buckets of (key, rep, sketch)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _by_key(batches, ["key"]):
             key, rep, s = pdf["key"].to_numpy(), pdf["rep"].to_numpy(), _matrix(pdf["sketch"])
-            found = []
+            found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for d in range(1, LIMIT):
                 i = np.flatnonzero(key[d:] == key[:-d])
                 if not len(i):
@@ -215,11 +226,18 @@ def _small_buckets(rows: DataFrame) -> DataFrame:
                 for lo in range(0, len(i), 1 << 14):
                     j = i[lo : lo + (1 << 14)]
                     j = j[(s[j] == s[j + d]).sum(1) >= AGREE]
-                    found.append(np.stack([rep[j], rep[j + d]], 1))
-            if found:
-                pairs = np.concatenate(found)
-                pairs = np.unique(np.sort(pairs, 1), axis=0)
-                yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                    found[0].append(j)
+                    found[1].append(j + d)
+            i, j = map(np.concatenate, found)
+            label = np.arange(len(rep))
+            while (label[i] != label[j]).any():
+                low = np.minimum(label[i], label[j])
+                np.minimum.at(label, label[i], low)
+                np.minimum.at(label, label[j], low)
+                label = label[label]
+            on = label != np.arange(len(rep))
+            pairs = np.unique(np.sort(np.stack([rep[on], rep[label[on]]], 1), 1), axis=0)
+            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return rows.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long")
 
@@ -260,10 +278,11 @@ def _large_buckets(rows: DataFrame) -> DataFrame:
     return cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(run, "a long, b long")
 
 
-def candidates(reps: DataFrame, recall: float = RECALL) -> DataFrame:
-    """(a, b): links between classes (rep, sketch) whose sketches agree, enough to connect them all."""
-    marks = reps.select("rep", "sketch").where("sketch is not null")
-    live = _first_split(marks, runs_for(recall))
+def candidates(reps: DataFrame) -> DataFrame:
+    """(a, b): links between classes (rep, sketch, roots) whose sketches agree, enough to connect them all."""
+    reps = reps.where("sketch is not null")
+    marks = reps.select("rep", "sketch")
+    live = _first_split(reps)
     edges = []
     for depth in range(DEPTH + 1):
         live = stored(live, "paths")
@@ -325,9 +344,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class_id is the smallest id among all that links connect; n_links counts the other documents at
     a similarity of at least 0.8, copies among them; copies counts the rows with the same words.
     """
-    marks = stored(signatures(docs, id_col, text_col), "signatures")
-    reps = stored(marks.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "classes")
-    comps = components(candidates(reps, recall))
+    marks = stored(signatures(docs, id_col, text_col, recall), "signatures")
+    reps = stored(marks.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots")), "classes")
+    comps = components(candidates(reps))
     sizes = comps.groupBy("root").agg(F.count("*").alias("size"))
     members = stored(comps.join(sizes, "root").withColumnRenamed("node", "rep").join(reps.select("rep", "copies"), "rep").withColumnRenamed("root", "comp"), "members")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
@@ -335,9 +354,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stored(_verify(_cells(texts, "comp", "size", BLOCK)), "links")
     classes = components(links).select(F.col("node").alias("rep"), F.col("root").alias("class_id"))
     counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    known = reps.drop("sketch").join(classes, "rep", "left").join(counts, "rep", "left")
+    known = reps.drop("sketch", "roots").join(classes, "rep", "left").join(counts, "rep", "left")
     known = known.select("c1", "c2", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
-    return marks.drop("sketch").join(known, ["c1", "c2"]).select(F.col("id").alias(id_col), "class_id", "n_links", "copies")
+    return marks.drop("sketch", "roots").join(known, ["c1", "c2"]).select(F.col("id").alias(id_col), "class_id", "n_links", "copies")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
