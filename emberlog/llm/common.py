@@ -108,6 +108,12 @@ def thin_out(df: DataFrame, column: str, keys: DataFrame, key: str, bits: int =
     return df.where(in_bitmap(df.sparkSession, key_bitmap(keys, key, bits))(F.col(column)))
 
 
+def split_off(df: DataFrame, column: str, keys: DataFrame, key: str, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """(rows whose column may be among keys, rows whose column is not): the second part needs no join and no shuffle."""
+    may = in_bitmap(df.sparkSession, key_bitmap(keys, key, bits))(F.col(column))
+    return df.where(may), df.where(~may)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node of each connected component, for nodes that have an edge.
 

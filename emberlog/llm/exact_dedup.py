@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import stored, thin_out
+from emberlog.llm.common import split_off, stored, thin_out
 
 CHUNK = 1 << 16
 PRIMES = (2**31 - 1, 2**31 - 19)
@@ -130,6 +130,15 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows repeated with their id, one."""
-    kept = find_copies(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([id_col])
+    """The rows of docs that stay, with all their columns; of rows repeated with id and text, one.
+
+    Rows without a copy pass without a join. Only groups of two and more meet their verdicts.
+    """
+    copies = stored(find_copies(docs, id_col, text_col), "copies")
+    groups = copies.where("group_size > 1").select(F.col(id_col).alias("_id"), F.col("kept").alias("_kept"), F.col("text_sha256").alias("_sha")).distinct()
+    may, alone = split_off(docs.withColumn("_key", F.col(id_col).cast("long")), "_key", groups, "_id")
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    met = may.withColumn("_mark", sha).join(groups, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_sha")), "left")
+    single = met.where("_kept is null").select(*docs.columns)
+    stays = met.where("_kept").dropDuplicates(["_key", "_mark"]).select(*docs.columns)
+    return alone.select(*docs.columns).unionAll(single).unionAll(stays)

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import components, stored, thin_out
+from emberlog.llm.common import components, split_off, stored, thin_out
 
 WORDS = 5
 THRESHOLD = (4, 5)
@@ -361,5 +361,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs but those that a link or a copy connects to a smaller id; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = stored(near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    may, stays = split_off(docs.withColumn("_key", F.col(id_col).cast("long")), "_key", gone, "_gone")
+    left = may.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    return stays.select(*docs.columns).unionAll(left.select(*docs.columns))
