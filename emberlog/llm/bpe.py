@@ -244,7 +244,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
             yield pd.DataFrame({"id": pdf["id"], "ids": [i.astype(np.int32) for i in ids], "decoded": [bpe.decode(i).decode() for i in ids]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, ids array<int>, decoded string")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id string, ids array<int>, decoded string")
+    return rows.withColumn("id", F.col("id").cast(kind))
 
 
 def encode_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,4 +262,5 @@ def encode_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
             yield out
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.withColumn("id", F.col("id").cast(kind))

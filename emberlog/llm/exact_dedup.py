@@ -88,7 +88,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.insert(0, "id", pdf["id"].to_numpy())
             yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, f1 long, f2 long, n_bytes long, sha256 string")
+    # As text, since pandas holds a column of numbers with a null in doubles.
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id string, f1 long, f2 long, n_bytes long, sha256 string")
+    return rows.withColumn("id", F.col("id").cast("long"))
 
 
 def _parts(docs: DataFrame) -> DataFrame:

@@ -126,7 +126,9 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, id_col: str, text_col: st
             yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    # As text, since pandas holds a column of numbers with a null in doubles.
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id string, piece int, start long, length long, ids_crc32 long")
+    return rows.withColumn("id", F.col("id").cast(kind))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -149,7 +151,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = sizes.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     ranked = dealt.withColumn("k", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece")))
-    ranked = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("k") - 1).drop("bucket", "k", "before")
+    kind = pieces.schema["id"].dataType.simpleString()
+    ranked = ranked.withColumn("id", F.col("id").cast("string")).join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("k") - 1).drop("bucket", "k", "before")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = slots.value
@@ -164,7 +167,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pdf
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
-    return ranked.mapInPandas(place, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInPandas(place, f"{fields}, sequence_id long, offset long").withColumn("id", F.col("id").cast(kind))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:

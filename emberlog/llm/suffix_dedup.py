@@ -398,8 +398,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.append((doc, len(data), gone, runs, left, hashlib.sha256(left).hexdigest()))
             yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    with_spans = own.where(may(F.col("u"))).join(spans, "u", "left").select("id", "data", "spans")
-    touched = with_spans.mapInPandas(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    with_spans = own.where(may(F.col("u"))).join(spans, "u", "left").select(F.col("id").cast("string").alias("id"), "data", "spans")
+    touched = with_spans.mapInPandas(cut, "id string, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string").withColumn("id", F.col("id").cast(kind))
     zero = F.lit(0).cast("long")
     others = own.where(~may(F.col("u"))).select("id", F.octet_length("data").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("data").alias("kept"), F.sha2("data", 256).alias("kept_sha256"))
     return touched.unionAll(others).withColumnRenamed("id", id_col)
