@@ -198,3 +198,23 @@ def decode_static(logs: DataFrame, event: Event) -> DataFrame:
             c = F.concat(F.lit("0x"), F.substring(c, 1, 2 * int(p.type[5:])))
         out = out.withColumn(snake(p.name), c)
     return out.where(F.length("data") >= 2 + 64 * word).drop("topics", "data")
+
+
+def guess(data: bytes):
+    """The value of a call whose return type is not stated.
+
+    An offset of 32 and a fitting length are text (or bytes, if it is not printable), a word of printable
+    bytes padded with zeros is text, several words are a tuple of numbers, and one word is a number.
+    """
+    if not data or len(data) % 32:
+        return "0x" + data.hex()
+    if len(data) >= 64 and _number(data, 0) == 32 and _number(data, 32) <= len(data) - 64 < _number(data, 32) + 32:
+        raw = data[64 : 64 + _number(data, 32)]
+        text = raw.decode("utf-8", "replace")
+        return text if text.isprintable() and "\ufffd" not in text else "0x" + raw.hex()
+    if len(data) == 32:
+        text = data.rstrip(b"\0")
+        if len(text) > 1 and data[0] and text.isascii() and text.decode().isprintable():
+            return text.decode()
+        return str(_number(data, 0))
+    return tuple(str(_number(data, at)) for at in range(0, len(data), 32))

@@ -73,6 +73,13 @@ def test_abi(spark):
     assert got["note"] == "0x" + "12" * 32 and got["ids"] == ["7", "8"] and got["text"] == "hé" and tuple(got["pair"]) == ("-5", "0xcafe") and got["two"] == [True, False] and got["tag"] == "0xdeadbeef"
 
 
+def test_guessed_results():
+    assert abi.guess(bytes.fromhex(word(5))) == "5" and abi.guess(bytes.fromhex(word(5) + word(6))) == ("5", "6")
+    assert abi.guess(b"DAI".ljust(32, b"\0")) == "DAI" and abi.guess(b"") == "0x"
+    assert abi.guess(bytes.fromhex(word(32) + word(4)) + b"Name".ljust(32, b"\0")) == "Name"
+    assert abi.guess(bytes.fromhex(word(32) + word(2) + "ff01".ljust(64, "0"))) == "0xff01"
+
+
 def test_block_table_reads_in_shares_and_streams(spark, tmp_path):
     spark.range(5000).select(F.col("id").alias("block_number"), (F.col("id") % 7).alias("x")).repartition(3).write.parquet(str(tmp_path / "t"))
     logs.register(spark)
