@@ -123,7 +123,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     joins whose large partitions adaptive execution splits.
     """
     e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    both = stored(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    # Each node's smaller neighbours are first tied to the smallest of them: the many stars that share their
+    # centres then leave about one edge a node.
+    e = stored(e.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
+    low = e.join(e.groupBy("hi").agg(F.min("lo").alias("m")), "hi")
+    tied = low.select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("a"), F.col("m").alias("b")).distinct()
+    both = stored(tied.union(tied.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    drop_stored(e)
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("root").alias("low"))
