@@ -73,6 +73,29 @@ def test_abi(spark):
     assert got["note"] == "0x" + "12" * 32 and got["ids"] == ["7", "8"] and got["text"] == "hé" and tuple(got["pair"]) == ("-5", "0xcafe") and got["two"] == [True, False] and got["tag"] == "0xdeadbeef"
 
 
+def test_calls_are_asked_once_and_joined_back(spark):
+    from emberlog.plans import calls, expr, values
+
+    text = '$call($token, "balanceOf(address) returns (uint256)", $holder) * 2 + $call_static($token, "pair()")[1]'
+    first, second = calls.find_calls(text)
+    assert first.selector == "70a08231" and second.static and second.access == "[1]" and first.returns == ("uint256",)
+    df = spark.createDataFrame([("m", 5, "0xAA", "0x" + "b" * 40), ("m", 5, "0xAA", "0x" + "b" * 40), ("m", 6, "0xAA", "0x" + "c" * 40)], "network string, evt_block_number long, token string, holder string")
+    seen = []
+
+    def results(asked):
+        seen.append(asked.count())
+        n = F.when(F.col("block").isNull(), 7).otherwise(F.col("block") * 10)
+        return asked.withColumn("result", F.concat(F.lit("0x"), F.lpad(F.hex(n), 64, "0"), F.lpad(F.hex(n + 1), 64, "0")))
+
+    out, rest = calls.resolve(df, text, results)
+    assert seen == [2, 1] and rest == "$call_0 * 2 + $call_1"
+    got = out.select(values.compile_value(rest, "int64", expr.resolver(out.schema)).alias("x"))
+    assert sorted(r["x"] for r in got.collect()) == [108, 108, 128]
+    for bad in ('$call($a, "f(", 1)', '$call($a, "f(uint8)")', '$call($a, "f()"'):
+        with pytest.raises(expr.ExprError):
+            calls.find_calls(bad)
+
+
 def test_guessed_results():
     assert abi.guess(bytes.fromhex(word(5))) == "5" and abi.guess(bytes.fromhex(word(5) + word(6))) == ("5", "6")
     assert abi.guess(b"DAI".ljust(32, b"\0")) == "DAI" and abi.guess(b"") == "0x"
