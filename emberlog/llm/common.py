@@ -14,11 +14,17 @@ from pyspark.sql import functions as F
 from emberlog.shipping import ship
 
 _OWN_FOLDER: list[str] = []
+SMALL_BYTES = 256 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. One that is small and in fewer files than there are cores is dealt out anew, since a
+    file of one row group is one task; larger tables are read as they lie."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    few = len(df.inputFiles()) < cores and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES
+    return df.repartition(cores) if few else df
 
 
 def shared_folder(spark: SparkSession) -> str:
