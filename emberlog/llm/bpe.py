@@ -39,7 +39,7 @@ def byte_symbols() -> list[str]:
 class Bpe:
     """An encoder and decoder over one vocabulary file. keep: most chunks of text whose ids are remembered."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]

@@ -35,7 +35,7 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 UNKNOWN = "und"
 SIZE = 1 << 14
 BIGRAMS = 1 << 12
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 18
 
 _LETTER = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 
@@ -214,7 +214,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
         flush()
         return pd.DataFrame({"lang_pred": names, "score": score})
 
-    found = run(F.col(text_col))
+    # Not to be copied into a filter on its result: texts are read once.
+    found = run.asNondeterministic()(F.col(text_col))
     return docs.withColumn("_language", found).withColumns({"lang_pred": F.col("_language.lang_pred"), "score": F.col("_language.score")}).drop("_language")
 
 
