@@ -33,8 +33,8 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 UNKNOWN = "und"
-SIZE = 1 << 14
-BIGRAMS = 1 << 12
+SIZE = 1 << 13
+BIGRAMS = 1 << 11
 GROUP_BYTES = 1 << 18
 
 _LETTER = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -43,7 +43,7 @@ _LETTER = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)]
 def ngrams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(codes, positions) of the n-grams of letters (lower-case bytes, other bytes 32) that hold a word's inside."""
     b = data.astype(np.uint32)
-    two = ((b[:-1] * 0x9E3779B1 + b[1:] * 0x85EBCA6B) & 0xFFFFFFFF) >> 20
+    two = ((b[:-1] * 0x9E3779B1 + b[1:] * 0x85EBCA6B) & 0xFFFFFFFF) >> 21
     three = ((b[:-2] * 0x9E3779B1 + b[1:-1] * 0xC2B2AE35 + b[2:] * 0x27D4EB2F) & 0xFFFFFFFF) >> 10
     three = BIGRAMS + three % (SIZE - BIGRAMS)
     p2 = np.flatnonzero((data[:-1] != 32) & (data[1:] != 32))
@@ -64,23 +64,23 @@ def letters(text: str | None) -> bytes:
 
 
 def _train(x: np.ndarray, y: np.ndarray, rounds: int = 30, c: float = 10.0) -> tuple[np.ndarray, float]:
-    """A linear SVM (hinge loss, dual coordinate descent) for y of -1 and 1; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    norm = np.einsum("ij,ij->i", x, x)
-    w, alpha = np.zeros(x.shape[1], np.float32), np.zeros(len(x))
+    """A linear SVM (hinge loss, dual coordinate descent) for y of -1 and 1: (weights, bias)."""
+    norm = np.einsum("ij,ij->i", x, x) + 1
+    w, bias, alpha = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(len(x))
     order = np.random.default_rng(7)
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(x)):
-            grad = y[i] * float(w @ x[i]) - 1
+            grad = y[i] * (float(w @ x[i]) + bias) - 1
             new = min(max(alpha[i] - grad / norm[i], 0), c)
             if new != alpha[i]:
                 w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                bias += (new - alpha[i]) * y[i]
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return w[:-1], float(w[-1])
+    return w, bias
 
 
 class Model:
@@ -94,7 +94,7 @@ class Model:
         own = np.array(langs)
         of = np.array([family[n] for n in langs])
         self.scale = 1 / max(1e-9, float(np.sqrt((x * x).sum(1).mean())))
-        x = x * np.float32(self.scale)
+        x *= np.float32(self.scale)
         self.pairs, weights, bias = [], [], []
         for level, names, is_ in [("", self.families, of), *((f, m, own) for f, m in self.members.items())]:
             for a, b in combinations(names, 2):
@@ -147,7 +147,7 @@ class Model:
         return names.tolist(), score
 
 
-def fit(labelled: DataFrame, per_language: int = 300, most: int = 3000) -> Model | None:
+def fit(labelled: DataFrame, per_language: int = 200, most: int = 1600) -> Model | None:
     """A model of labelled (key, text, lang), rows with a null being left out. Sampled by a hash of key, whole texts."""
     labelled = labelled.where("key is not null and text is not null and lang is not null")
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
