@@ -294,7 +294,7 @@ def _spans(flags: np.ndarray, u: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
 
 
 def _sort_groups(rows: DataFrame) -> DataFrame:
-    """(u, start, end) from groups (key, u, pos, left, lo, hi, ctx) of at most LIMIT rows each."""
+    """(u, start, end) from groups (key, u, pos, left, lo, hi, alone, ctx) of at most LIMIT rows each; for rows alone in their class."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -304,7 +304,8 @@ def _sort_groups(rows: DataFrame) -> DataFrame:
             key = pdf["key"].to_numpy()
             group = np.cumsum(np.r_[True, key[1:] != key[:-1]])
             flags = repeats(group, [bytes(c) for c in pdf["ctx"]], pdf["left"].to_numpy(), pdf["lo"].to_numpy(), pdf["hi"].to_numpy())
-            return _spans(flags, pdf["u"].to_numpy(), pdf["pos"].to_numpy())
+            alone = pdf["alone"].to_numpy()
+            return _spans(flags[alone], pdf["u"].to_numpy()[alone], pdf["pos"].to_numpy()[alone])
 
         for pdf in batches:
             if not len(pdf):
@@ -321,7 +322,7 @@ def _sort_groups(rows: DataFrame) -> DataFrame:
         if count:
             yield work(pd.concat(held, ignore_index=True))
 
-    return rows.repartition("key").sortWithinPartitions("key").select("key", "u", "pos", "left", "lo", "hi", "ctx").mapInPandas(run, "u long, start long, end long")
+    return rows.repartition("key").sortWithinPartitions("key").select("key", "u", "pos", "left", "lo", "hi", "alone", "ctx").mapInPandas(run, "u long, start long, end long")
 
 
 def _span(lo: str, hi: str) -> list:
@@ -342,7 +343,7 @@ def _halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = two.groupBy("key", "mark").agg(F.count("*").alias("n"), F.min(F.struct("u", "pos")).alias("first"))
     met = two.join(same, ["key", "mark"])
     settled = met.where("n > 1").select("u", *_span("lo", "hi"))
-    return settled, met.where((F.col("first.u") == F.col("u")) & (F.col("first.pos") == F.col("pos"))).drop("first", "n", "mark")
+    return settled, met.where((F.col("first.u") == F.col("u")) & (F.col("first.pos") == F.col("pos"))).withColumn("alone", F.col("alone") & (F.col("n") == 1)).drop("first", "n", "mark")
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
@@ -350,9 +351,9 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     seen = _count_anchors(docs).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     bitmap = key_bitmap(seen, "h", ANCHOR_BITS, hashed=True)
     rows = stored(_surroundings(docs, bitmap), "anchors")
-    classes = rows.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min("u").alias("u"), F.min("pos").alias("pos"), F.first("left").alias("left"), F.first("right").alias("right"), F.max("ctx").alias("ctx"))
-    # Of a class of one, min() is its row; a class of more is settled as a whole, and stands for itself in its group.
-    classes = classes.withColumns({"key": F.col("h"), "lo": F.greatest(F.lit(0), F.lit(WINDOW) - F.col("right")), "hi": F.col("left")}).where("lo <= hi").drop("h", "right")
+    classes = rows.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("u", "pos")).alias("first"), F.first("left").alias("left"), F.first("right").alias("right"), F.max("ctx").alias("ctx"))
+    # A class of more than one is settled as a whole; its first row stands for it in its group, where others may meet it.
+    classes = classes.withColumns({"u": F.col("first.u"), "pos": F.col("first.pos"), "alone": F.col("n") == 1, "key": F.col("h"), "lo": F.greatest(F.lit(0), F.lit(WINDOW) - F.col("right")), "hi": F.col("left")}).where("lo <= hi").drop("h", "right", "first")
     classes = stored(classes, "anchor-classes")
     settled = rows.join(classes.where("n > 1").select(F.col("key").alias("h"), "c1", "c2", "lo", "hi"), ["h", "c1", "c2"]).select("u", *_span("lo", "hi"))
     found = [settled]

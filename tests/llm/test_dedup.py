@@ -123,6 +123,23 @@ def test_repeats_match_brute_force(docs, clashing, none, doc_rows, limit, monkey
         assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("limit", [4096, 3])
+def test_a_third_document_holds_part_of_a_shared_passage(spark, limit, monkeypatch):
+    """Whole in X and Y, in part in Z, at places of their own: no place of one document may be used for another."""
+    monkeypatch.setattr(suffix_dedup, "LIMIT", limit)
+    rng = np.random.default_rng(5)
+
+    def own(n):
+        return bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+
+    texts = []
+    for _ in range(6):
+        passage = own(600)
+        texts += [own(5000) + passage + own(900), own(50) + passage + own(900), own(2000) + passage[:400] + own(700)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).drop("kept")
+    assert sorted(map(tuple, got.collect())) == [(k, *b) for k, b in enumerate(brute_repeats([t.encode() for t in texts]))]
+
+
 def test_repeats_inside_one_text(spark):
     texts = ["ab" * 300, "x" * 199, "y" * 200, "y" * 201, "é" * 250, "".join(chr(97 + i * i % 26) for i in range(700)) * 2]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
