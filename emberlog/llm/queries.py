@@ -27,12 +27,12 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels: a page is bad if its labels row is toxic or its host holds one of BAD_WORDS."""
+    """Labels: a page is bad if its labels row is toxic or its host holds one of BAD_WORDS; any other page is not, with or without a labels row."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     toxic = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("toxic"))
-    known = pages.join(toxic, "page_id").withColumns({"host": url_filter.host_of("url"), "path": url_filter.path_of("url")})
+    known = pages.join(toxic, "page_id", "left").withColumns({"host": url_filter.host_of("url"), "path": url_filter.path_of("url")})
     known = known.withColumn("tokens", url_filter.tokens_of("host", "path"))
-    bad = (F.col("toxic") == 1) | F.arrays_overlap("tokens", F.array(*map(F.lit, BAD_WORDS)))
+    bad = F.coalesce(F.col("toxic") == 1, F.lit(False)) | F.arrays_overlap("tokens", F.array(*map(F.lit, BAD_WORDS)))
     return url_filter.judge(pages, URL_RULES, url_filter.mine(known.select("tokens", bad.alias("bad"))))
 
 

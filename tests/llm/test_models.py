@@ -75,6 +75,16 @@ def test_rules_are_mined_by_support_and_confidence(spark):
     assert url_filter.mine(df.where("not bad")) == [] and url_filter.mine(df.limit(0)) == []
 
 
+def test_pages_without_a_labels_row_are_mined_too(spark, tmp_path):
+    pages = [(k, f"http://m.ads-track.example.com/p{k}" if k < 40 else f"http://www.plain{k % 9}.example.com/p{k}") for k in range(400)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    labels = [(k, 1, 0) for k in range(0, 400, 8)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op3_url_filter(spark, str(tmp_path)).collect()
+    assert len(got) == 400
+    assert {r["page_id"] for r in got if r["verdict"] == "block"} == set(range(40))
+
+
 def vectors(spark, n=1500, dim=16):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, dim))
