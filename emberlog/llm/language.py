@@ -33,8 +33,8 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 UNKNOWN = "und"
-SIZE = 1 << 13
-BIGRAMS = 1 << 11
+SIZE = 1 << 14
+BIGRAMS = 1 << 12
 GROUP_BYTES = 1 << 18
 
 _LETTER = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -43,7 +43,7 @@ _LETTER = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)]
 def ngrams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(codes, positions) of the n-grams of letters (lower-case bytes, other bytes 32) that hold a word's inside."""
     b = data.astype(np.uint32)
-    two = ((b[:-1] * 0x9E3779B1 + b[1:] * 0x85EBCA6B) & 0xFFFFFFFF) >> 21
+    two = ((b[:-1] * 0x9E3779B1 + b[1:] * 0x85EBCA6B) & 0xFFFFFFFF) >> 20
     three = ((b[:-2] * 0x9E3779B1 + b[1:-1] * 0xC2B2AE35 + b[2:] * 0x27D4EB2F) & 0xFFFFFFFF) >> 10
     three = BIGRAMS + three % (SIZE - BIGRAMS)
     p2 = np.flatnonzero((data[:-1] != 32) & (data[1:] != 32))
@@ -63,18 +63,19 @@ def letters(text: str | None) -> bytes:
     return out.tobytes() if (out != 32).any() else b""
 
 
-def _train(x: np.ndarray, y: np.ndarray, rounds: int = 30, c: float = 10.0) -> tuple[np.ndarray, float]:
-    """A linear SVM (hinge loss, dual coordinate descent) for y of -1 and 1: (weights, bias)."""
-    norm = np.einsum("ij,ij->i", x, x) + 1
-    w, bias, alpha = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(len(x))
+def _train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 30, c: float = 10.0) -> tuple[np.ndarray, float]:
+    """A linear SVM (hinge loss, dual coordinate descent) for rows (codes, values) and y of -1 and 1: (weights, bias)."""
+    norm = [float(v @ v) + 1 for _, v in x]
+    w, bias, alpha = np.zeros(SIZE, np.float32), 0.0, np.zeros(len(x))
     order = np.random.default_rng(7)
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(x)):
-            grad = y[i] * (float(w @ x[i]) + bias) - 1
+            at, v = x[i]
+            grad = y[i] * (float(w[at] @ v) + bias) - 1
             new = min(max(alpha[i] - grad / norm[i], 0), c)
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                w[at] += np.float32((new - alpha[i]) * y[i]) * v
                 bias += (new - alpha[i]) * y[i]
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
@@ -86,20 +87,21 @@ def _train(x: np.ndarray, y: np.ndarray, rounds: int = 30, c: float = 10.0) -> t
 class Model:
     """Pairs of families and pairs of languages within each, with one weight column for each pair."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: list[tuple[np.ndarray, np.ndarray]], langs: list[str]):
+        """x: the n-gram codes of each text, each once, and their shares."""
         self.langs = sorted(set(langs))
         family = {n: FAMILY_OF.get(n, n) for n in self.langs}
         self.families = sorted(set(family.values()))
         self.members = {f: [n for n in self.langs if family[n] == f] for f in self.families}
         own = np.array(langs)
         of = np.array([family[n] for n in langs])
-        self.scale = 1 / max(1e-9, float(np.sqrt((x * x).sum(1).mean())))
-        x *= np.float32(self.scale)
+        self.scale = 1 / max(1e-9, float(np.sqrt(np.mean([float(v @ v) for _, v in x]))))
+        x = [(at, v * np.float32(self.scale)) for at, v in x]
         self.pairs, weights, bias = [], [], []
         for level, names, is_ in [("", self.families, of), *((f, m, own) for f, m in self.members.items())]:
             for a, b in combinations(names, 2):
                 rows = np.flatnonzero((is_ == a) | (is_ == b))
-                w, b0 = _train(x[rows], np.where(is_[rows] == a, 1.0, -1.0))
+                w, b0 = _train([x[k] for k in rows], np.where(is_[rows] == a, 1.0, -1.0))
                 self.pairs.append((level, a, b))
                 weights.append(w * np.float32(self.scale))
                 bias.append(b0)
@@ -147,7 +149,7 @@ class Model:
         return names.tolist(), score
 
 
-def fit(labelled: DataFrame, per_language: int = 200, most: int = 1600) -> Model | None:
+def fit(labelled: DataFrame, per_language: int = 300, most: int = 3000) -> Model | None:
     """A model of labelled (key, text, lang), rows with a null being left out. Sampled by a hash of key, whole texts."""
     labelled = labelled.where("key is not null and text is not null and lang is not null")
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
@@ -179,9 +181,7 @@ def fit(labelled: DataFrame, per_language: int = 200, most: int = 1600) -> Model
     rows = [r for lang in sorted(taken) for r in taken[lang]]
     if not rows:
         return None
-    x = np.zeros((len(rows), SIZE), np.float32)
-    for k, r in enumerate(rows):
-        x[k, np.frombuffer(bytes(r["i"]), np.uint16)] = np.frombuffer(bytes(r["x"]), np.float32)
+    x = [(np.frombuffer(bytes(r["i"]), np.uint16), np.frombuffer(bytes(r["x"]), np.float32)) for r in rows]
     return Model(x, [r["lang"] for r in rows])
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -43,6 +44,18 @@ def test_one_language_and_new_families(spark):
     assert {r["lang_pred"] for r in language.identify(df).collect()} == {"qq"}
 
 
+def test_the_language_sample_is_whole(spark, monkeypatch):
+    """300 documents of a language are learned from, in 16,384 features."""
+    seen = []
+    monkeypatch.setattr(language, "Model", lambda x, langs: seen.append((x, langs)))
+    rng = random.Random(4)
+    rows = [(str(k), "".join(rng.choices("abcdefgh ", k=80)), ["aa", "bb"][k % 2]) for k in range(1400)]
+    language.fit(spark.createDataFrame(rows, "key string, text string, lang string"))
+    x, langs = seen[0]
+    assert Counter(langs) == {"aa": 300, "bb": 300} and language.SIZE == 1 << 14
+    assert all(abs(float(v.sum()) - 1) < 1e-5 and len(set(at.tolist())) == len(at) for at, v in x)
+
+
 URLS = [
     "http://A.Example.COM/de/x?y", "https://www.example.net/en/1", "http://example.net/fr/", "http://x.org/fr/a#b", "http://org/fr/", "http://xnet/", "net", None, "",
     "ftp://net?x://y/", "http://host#f/de/", "a://b://c/d", "http://cheap.casino.test/", "http://example.com", "HTTP://EXAMPLE.COM/de/",
