@@ -3,7 +3,7 @@
 Features are shares of hashed byte bigrams and trigrams of the lower-cased letters of the whole text.
 Both levels use linear support vector machines, one for each pair (of families, or of languages of a
 family), trained by dual coordinate descent on a bounded sample of labelled documents: at most
-`per_language` of each language and `most` in all. A prediction is a mean of weights over the
+`per_language` of each language and `most` in all (or five of each, if that is more). A prediction is a mean of weights over the
 text's n-grams, so a text of any length is read once, in one pass without a shuffle.
 
 A text that is null or has no letter gets `und` with score 0. Where nothing is learned (an empty
@@ -18,7 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Families of common languages by ISO 639-1 code; any other code is a family of its own.
@@ -150,7 +150,10 @@ class Model:
 
 
 def fit(labelled: DataFrame, per_language: int = 300, most: int = 3000) -> Model | None:
-    """A model of labelled (key, text, lang), rows with a null being left out. Sampled by a hash of key, whole texts."""
+    """A model of labelled (key, text, lang), rows with a null being left out. Sampled by a hash of key, whole texts.
+
+    No language goes without its share: five documents of each are taken even if that makes more than `most`.
+    """
     labelled = labelled.where("key is not null and text is not null and lang is not null")
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
@@ -173,12 +176,10 @@ def fit(labelled: DataFrame, per_language: int = 300, most: int = 3000) -> Model
             yield pd.DataFrame(rows, columns=["draw", "lang", "i", "x"])
 
     sample = labelled.where(wanted).select(draw.alias("draw"), "lang", "text").mapInPandas(run, "draw long, lang string, i binary, x binary")
-    taken: dict[str, list] = {}
-    for r in sample.orderBy("draw").limit(3 * want * len(counts)).collect():
-        own = taken.setdefault(r["lang"], [])
-        if len(own) < want:
-            own.append(r)
-    rows = [r for lang in sorted(taken) for r in taken[lang]]
+    # The smallest draws within each language: a frequent one's are all small, a rare one's are spread over the range.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "i", "x"))
+    taken = sample.withColumn("place", place).where(F.col("place") <= want).collect()
+    rows = sorted(taken, key=lambda r: (r["lang"], r["place"]))
     if not rows:
         return None
     x = [(np.frombuffer(bytes(r["i"]), np.uint16), np.frombuffer(bytes(r["x"]), np.float32)) for r in rows]

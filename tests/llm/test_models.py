@@ -56,6 +56,17 @@ def test_the_language_sample_is_whole(spark, monkeypatch):
     assert all(abs(float(v.sum()) - 1) < 1e-5 and len(set(at.tolist())) == len(at) for at, v in x)
 
 
+def test_rare_languages_keep_their_share_of_the_sample(spark, monkeypatch):
+    """Also where frequent languages draw more rows than all languages are to keep."""
+    seen = []
+    monkeypatch.setattr(language, "Model", lambda x, langs: seen.append(langs))
+    rows = [(str(k), f"some text {'abcdefgh'[k % 8]}", f"l{k % 8}") for k in range(4000)] + [(f"r{k}", "rare text", "rare") for k in range(6)]
+    language.fit(spark.createDataFrame(rows, "key string, text string, lang string"), per_language=5)
+    assert Counter(seen[0]) == {f"l{k}": 5 for k in range(8)} | {"rare": 5}
+    language.fit(spark.createDataFrame(rows, "key string, text string, lang string"), most=20)
+    assert Counter(seen[1]) == Counter(seen[0])
+
+
 URLS = [
     "http://A.Example.COM/de/x?y", "https://www.example.net/en/1", "http://example.net/fr/", "http://x.org/fr/a#b", "http://org/fr/", "http://xnet/", "net", None, "",
     "ftp://net?x://y/", "http://host#f/de/", "a://b://c/d", "http://cheap.casino.test/", "http://example.com", "HTTP://EXAMPLE.COM/de/",
