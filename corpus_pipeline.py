@@ -18,9 +18,12 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null texts, texts without letters) go; a missing lang is filled in."""
+    """Documents without a language (null texts, texts without letters) go; a missing lang is filled in, or stays if nothing is learned."""
     ship(spark)
-    found = language.predict(docs, language.fit_documents(docs)).where(F.col("lang_pred") != language.UNKNOWN)
+    model = language.fit_documents(docs)
+    if model is None:
+        return docs.where(language.has_letters())
+    found = language.predict(docs, model).where(F.col("lang_pred") != language.UNKNOWN)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

@@ -220,6 +220,14 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     return docs.withColumn("_language", found).withColumns({"lang_pred": F.col("_language.lang_pred"), "score": F.col("_language.score")}).drop("_language")
 
 
+def has_letters(text_col: str = "text") -> Column:
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(letters(t)) for t in texts.tolist()], dtype=bool)
+
+    return run(F.col(text_col))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from emberlog.llm import secrets
@@ -38,6 +39,13 @@ def test_stages_match_brute_force(spark, docs, doc_rows):
     assert lengths == {d: len(tok.encode(t, add_special_tokens=False).ids) + 1 for d, t in masked.items()}
 
 
+def test_documents_without_any_label_stay(spark, docs, doc_rows):
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    got = corpus_pipeline.identify_language(spark, unlabelled, "")
+    assert got.columns == docs.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(r[0] for r in doc_rows if r[1] and any(map(str.isalpha, r[1])))
+
+
 def test_an_empty_table_passes(spark, none):
     df = none
     for _, stage in corpus_pipeline.STAGES:
