@@ -137,6 +137,23 @@ def test_neighbours_recall_and_ties(spark):
     assert hit / (10 * len(got)) >= 0.9
 
 
+def test_recall_in_a_full_chunk(spark):
+    """8,192 vectors without clusters in one chunk, of which 200 are ranked anew."""
+    x = np.random.default_rng(6).normal(size=(8192, 32)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")
+    try:
+        rows = ann.nearest(df, F.col("id") % 128 == 0, 10).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    hit = 0
+    for q in range(0, 8192, 128):
+        dist = ((x.astype(np.float64) - x[q]) ** 2).sum(1)
+        dist[q] = np.inf
+        hit += len(set(np.argsort(dist)[:10].tolist()) & {r["vec_id"] for r in rows if r["query_id"] == q})
+    assert len(rows) == 640 and hit / 640 >= 0.9
+
+
 def test_neighbours_of_few_and_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = sorted(map(tuple, ann.nearest(df, F.col("id") == 0, 10).collect()))
