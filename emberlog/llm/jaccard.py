@@ -2,17 +2,24 @@
 
 A document is the set of its runs of five words (lower-case, split at white space; a text of one to
 four words is one shingle). Texts with the same words are copies and are joined as one. Each
-class of copies is embedded as 64 minwise values, of which 16 bits each form its sketch. A run of the
-join splits all classes into buckets by the value at sampled places, on average 1/0.8 places a
-bucket, so that a pair at the threshold survives each split once on average. Buckets of at most
-LIMIT are compared by brute force; larger ones are split again at places sampled for each bucket;
-what splitting does not make small by DEPTH is compared in blocks, whole. Runs are repeated until a
-pair at the threshold is met with the target recall.
+class of copies is embedded as 64 minwise values, of which 16 bits each form its sketch; classes of
+equal sketches are tied to the smallest of them, which alone goes on. A run of the join splits all
+classes into buckets by the value at sampled places, on average 1/0.8 places a bucket, so that a
+pair at the threshold survives each split once on average. Buckets of at most LIMIT are compared by
+brute force; larger ones are split again, at places sampled for each bucket, until none is left. Runs
+are repeated until a pair at the threshold is met with the target recall.
+
+Buckets of much the same texts do not shrink by splitting. So before each split a large bucket is
+held against its pivot, its smallest class: all that agree with it at LINK places are tied to it, and what
+agrees at HOLD goes no further. HOLD lies so far above LINK that a class which agrees at AGREE places with
+one that goes no further is tied to the pivot as well (agreements obey the triangle inequality), so
+nothing is lost; and a bucket that is tied to its pivot as a whole is done. All this costs each row
+of a bucket one comparison a split, never the pairs.
 
 Sketches that agree well enough join their classes into candidate components. Inside a component all
-pairs are compared exactly, on their whole texts, block by block, so a link that the runs miss is still
-found through any third text. A hot group is spread over many blocks, and only counts and a
-spanning forest leave a block, never the pairs.
+pairs are compared exactly, on their whole texts, so a link that the runs miss is still found through
+any third text, and the number of links is exact. A component of more than BUDGET shingles or ROWS classes
+is dealt over blocks, each pair of which meets in a task; only counts and a spanning forest leave it.
 
 Null counts as empty. Texts without words are copies of one another and have no other links. Rows repeated
 with their id count as copies. Documents need ids; rows with a null id are left out.
@@ -30,19 +37,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import components, split_off, stored, thin_out
+from emberlog.llm.common import components, drop_stored, split_off, stored, thin_out
 
 WORDS = 5
 THRESHOLD = (4, 5)
 PLACES = 64
-LIMIT = 48
-DEPTH = 3
-BLOCK = 128
+LIMIT = 256
+#: Splits after which runs still meet a pair at the threshold with the target recall: 256 * 2^DEPTH rows at a similarity of a half.
+DEPTH = 5
+#: Shingles and classes of one block in the exact comparison.
+BUDGET = 1 << 19
+ROWS = 2048
 RECALL = 0.999
 #: A bucket is split at one place, and at a second one with this chance: 1.25 places, the inverse of the threshold.
 SECOND = 0.25
 #: Agreeing places below which a pair at the threshold lies with a chance of less than 1 in 10,000.
 AGREE = 38
+#: Agreeing places from which a class needs no comparison beside its pivot's, and from which it is tied to its pivot.
+HOLD = 54
+LINK = HOLD - (PLACES - AGREE)
 
 _rng = np.random.default_rng(2024)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -110,11 +123,10 @@ def minima(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
-    """(id, c1, c2, sketch, roots): a 128-bit key of the text's words, its sketch, and its whole values at the
-    places where runs begin (null without words). No shuffle."""
+    """(id, c1, c2, size, sketch, roots): a 128-bit key of the text's words, the number of its shingles, its sketch,
+    and its whole values at the places where runs begin (null without words). No shuffle."""
     first = [place for r in range(runs_for(recall)) for place in _roots(r)]
 
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, texts = pdf["id"].to_numpy(), pdf["text"].tolist()
@@ -131,10 +143,10 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 low = minima(hashes, size[has]) if has.any() else np.zeros((0, PLACES), np.uint64)
                 marks, roots = iter((low >> np.uint64(48)).astype(np.uint16)), iter(low[:, first])
                 sketch, root = ([next(of).tobytes() if h else None for h in has] for of in (marks, roots))
-                yield pd.DataFrame({"id": ids[begin:at], "c1": keys[:, 0], "c2": keys[:, 1], "sketch": sketch, "roots": root})
+                yield pd.DataFrame({"id": ids[begin:at], "c1": keys[:, 0], "c2": keys[:, 1], "size": size, "sketch": sketch, "roots": root})
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    return own.mapInPandas(run, "id long, c1 long, c2 long, sketch binary, roots binary")
+    return own.mapInPandas(run, "id long, c1 long, c2 long, size long, sketch binary, roots binary")
 
 
 def runs_for(recall: float, depth: int = DEPTH) -> int:
@@ -175,6 +187,16 @@ def _first_split(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "roots").mapInPandas(run, "key long, rep long")
 
 
+def _against_pivots(rows: DataFrame) -> DataFrame:
+    """(key, rep, sketch, pivot, agree) of rows (key, rep, sketch, pivot, head): the places at which a sketch agrees with the pivot's."""
+
+    @F.pandas_udf("int")
+    def agree(sketch: pd.Series, head: pd.Series) -> pd.Series:
+        return pd.Series((_matrix(sketch) == _matrix(head)).sum(1).astype(np.int32))
+
+    return rows.withColumn("agree", agree("sketch", "head")).drop("head")
+
+
 def _split(rows: DataFrame) -> DataFrame:
     """Large buckets (key, rep, sketch) into smaller ones, at places sampled for each bucket."""
 
@@ -252,79 +274,87 @@ def _forest(rep: np.ndarray, near: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _cells(rows: DataFrame, group: str, size: str, block: int) -> DataFrame:
-    """rows once for each pair of blocks of their group: adds lo, hi and own (the row's block)."""
-    blocks = F.ceil(F.col(size) / block)
-    out = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    return out.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", size)
-
-
-def _large_buckets(rows: DataFrame) -> DataFrame:
-    """(a, b): a spanning forest, block by block, of buckets (key, rep, sketch, n) of any size."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _by_key(batches, ["key", "lo", "hi"]):
-            for _, cell in pdf.groupby(["key", "lo", "hi"], sort=False):
-                rep, s = cell["rep"].to_numpy(), _matrix(cell["sketch"])
-                agree = np.zeros((len(rep), len(rep)), np.int16)
-                for k in range(PLACES):
-                    agree += s[:, k][:, None] == s[:, k][None, :]
-                label = _forest(rep, agree >= AGREE)
-                on = label != rep
-                if on.any():
-                    yield pd.DataFrame({"a": rep[on], "b": label[on]})
-
-    cells = _cells(rows, "key", "n", BLOCK)
-    return cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(run, "a long, b long")
-
-
 def candidates(reps: DataFrame) -> DataFrame:
     """(a, b): links between classes (rep, sketch, roots) whose sketches agree, enough to connect them all."""
     reps = reps.where("sketch is not null")
-    marks = reps.select("rep", "sketch")
-    live = _first_split(reps)
-    edges = []
-    for depth in range(DEPTH + 1):
+    heads = reps.groupBy("sketch").agg(F.min("rep").alias("head"), F.min_by("roots", "rep").alias("roots"), F.count("*").alias("n"))
+    heads = stored(heads, "heads")
+    equal = heads.where("n > 1").select("sketch", "head")
+    edges = [reps.join(equal, "sketch").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))]
+    marks = heads.select(F.col("head").alias("rep"), "sketch")
+    live = _first_split(heads.select(F.col("head").alias("rep"), "roots"))
+    done = []
+    while True:
         live = stored(live, "paths")
-        full = live.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        full = live.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
         sized = stored(live.join(full, "key").join(marks, "rep"), "buckets")
+        drop_stored(live)
+        done.append(sized)
         edges.append(_small_buckets(sized.where(F.col("n") <= LIMIT).select("key", "rep", "sketch")))
-        large = sized.where(F.col("n") > LIMIT)
+        large = sized.where(F.col("n") > LIMIT).drop("n")
         if not large.limit(1).count():
             break
-        if depth == DEPTH:
-            edges.append(_large_buckets(large))
-        else:
-            live = _split(large.select("key", "rep", "sketch"))
-    return stored(reduce(DataFrame.unionAll, edges), "candidates")
+        held = stored(_against_pivots(large.join(large.where("rep = pivot").select("key", F.col("sketch").alias("head")), "key")), "held")
+        done.append(held)
+        edges.append(held.where((F.col("agree") >= LINK) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+        loose = held.where(F.col("agree") < LINK).select("key").distinct()
+        live = _split(held.where(F.col("agree") < HOLD).join(loose, "key", "left_semi").select("key", "rep", "sketch"))
+    out = stored(reduce(DataFrame.unionAll, edges), "candidates")
+    for df in (*done, heads):
+        drop_stored(df)
+    return out
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """rows (comp, rep, blocks, …) once for each pair of blocks of their component: adds lo, hi and own (the row's block)."""
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    out = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return out.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "blocks")
+
+
+#: Shingles that more texts of a cell share than this are counted by matrix products, others pair by pair.
+DENSE = 32
+
+
+def _overlaps(hashes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different shingles of each text, shingles that each two texts share) of texts' shingle hashes."""
+    rows = len(size)
+    doc = np.repeat(np.arange(rows), size)
+    order = np.lexsort((doc, hashes))
+    hashes, doc = hashes[order], doc[order]
+    new = np.r_[True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])]
+    hashes, doc = hashes[new], doc[new]
+    n = np.bincount(doc, minlength=rows)
+    start = np.r_[True, hashes[1:] != hashes[:-1]] if len(hashes) else np.zeros(0, bool)
+    col = np.cumsum(start) - 1
+    there = np.bincount(col)[col]
+    both = np.zeros((rows, rows), np.int32)
+    few = (there > 1) & (there <= DENSE)
+    c, d = col[few], doc[few]
+    for step in range(1, min(DENSE, len(c))):
+        i = np.flatnonzero(c[step:] == c[:-step])
+        if not len(i):
+            break
+        np.add.at(both, (d[i], d[i + step]), 1)
+    both += both.T
+    many = there > DENSE
+    c, d = (np.cumsum(start & many) - 1)[many], doc[many]
+    for at in range(0, int(c[-1]) + 1 if len(c) else 0, 1024):
+        lo, hi = np.searchsorted(c, [at, at + 1024])
+        m = np.zeros((rows, 1024), np.float32)
+        m[d[lo:hi], c[lo:hi] - at] = 1
+        both += (m @ m.T).astype(np.int32)
+    return n, both
 
 
 def _verify(rows: DataFrame) -> DataFrame:
-    """(a, b, links): of each row of (comp, rep, copies, text, lo, hi, own) its block's forest and its links there."""
+    """(a, b, links): of each row of (comp, rep, copies, text, lo, hi, own) its cell's forest and its links there."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _by_key(batches, ["comp", "lo", "hi"]):
             for _, cell in pdf.groupby(["comp", "lo", "hi"], sort=False):
                 rep, copies = cell["rep"].to_numpy(), cell["copies"].to_numpy()
-                hashes, size = shingles([normal(t) for t in cell["text"]])
-                doc = np.repeat(np.arange(len(rep)), size)
-                order = np.lexsort((doc, hashes))
-                hashes, doc = hashes[order], doc[order]
-                new = np.r_[True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])]
-                hashes, doc = hashes[new], doc[new]
-                n = np.bincount(doc, minlength=len(rep))
-                # Only shingles that at least two texts have can meet.
-                run_start = np.r_[True, hashes[1:] != hashes[:-1]]
-                which = np.cumsum(run_start) - 1
-                shared = np.bincount(which)[which] > 1
-                doc, col = doc[shared], (np.cumsum(run_start & shared) - 1)[shared]
-                both = np.zeros((len(rep), len(rep)), np.float32)
-                for at in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
-                    lo, hi = np.searchsorted(col, [at, at + 4096])
-                    m = np.zeros((len(rep), 4096), np.float32)
-                    m[doc[lo:hi], col[lo:hi] - at] = 1
-                    both += m @ m.T
-                both = both.astype(np.int64)
+                n, both = _overlaps(*shingles([normal(t) for t in cell["text"]]))
                 near = both * THRESHOLD[1] >= THRESHOLD[0] * (n[:, None] + n[None, :] - both)
                 np.fill_diagonal(near, False)
                 block = cell["own"].to_numpy()
@@ -345,23 +375,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a similarity of at least 0.8, copies among them; copies counts the rows with the same words.
     """
     marks = stored(signatures(docs, id_col, text_col, recall), "signatures")
-    reps = stored(marks.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots")), "classes")
-    comps = components(candidates(reps))
-    sizes = comps.groupBy("root").agg(F.count("*").alias("size"))
-    members = stored(comps.join(sizes, "root").withColumnRenamed("node", "rep").join(reps.select("rep", "copies"), "rep").withColumnRenamed("root", "comp"), "members")
+    one = ["sketch", "roots", "size"]
+    reps = stored(marks.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in one)), "classes")
+    found = candidates(reps)
+    comps = components(found)
+    drop_stored(found)
+    sized = comps.select(F.col("node").alias("rep"), F.col("root").alias("comp")).join(reps.select("rep", "copies", "size"), "rep")
+    blocks = F.greatest(F.ceil(F.sum("size") / BUDGET), F.ceil(F.count("*") / ROWS))
+    members = stored(sized.join(sized.groupBy("comp").agg(blocks.alias("blocks")), "comp").drop("size"), "members")
+    drop_stored(comps)
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     texts = thin_out(texts, "rep", members, "rep").dropDuplicates(["rep"]).join(members, "rep")
-    links = stored(_verify(_cells(texts, "comp", "size", BLOCK)), "links")
+    links = stored(_verify(_cells(texts)), "links")
+    drop_stored(members)
     classes = components(links).select(F.col("node").alias("rep"), F.col("root").alias("class_id"))
     counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    known = reps.drop("sketch", "roots").join(classes, "rep", "left").join(counts, "rep", "left")
+    known = reps.drop(*one).join(classes, "rep", "left").join(counts, "rep", "left")
     known = known.select("c1", "c2", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
-    return marks.drop("sketch", "roots").join(known, ["c1", "c2"]).select(F.col("id").alias(id_col), "class_id", "n_links", "copies")
+    return marks.drop(*one).join(known, ["c1", "c2"]).select(F.col("id").alias(id_col), "class_id", "n_links", "copies")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs but those that a link or a copy connects to a smaller id; rows with a null id stay."""
-    gone = stored(near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    may, stays = split_off(docs.withColumn("_key", F.col(id_col).cast("long")), "_key", gone, "_gone")
-    left = may.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
-    return stays.select(*docs.columns).unionAll(left.select(*docs.columns))
+    """The rows of docs but those that a link or a copy connects to a smaller id; rows with a null id stay.
+
+    docs may have columns of any names.
+    """
+    found = near_duplicates(docs, id_col, text_col)
+    gone = stored(found.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("gone")).distinct(), "gone")
+    held = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("key"))
+    may, stays = split_off(held, "key", gone, "gone")
+    left = may.join(gone, F.col("key") == F.col("gone"), "left_anti")
+    return stays.select("row.*").unionAll(left.select("row.*"))

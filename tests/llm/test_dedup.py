@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -81,20 +82,59 @@ def brute_links(rows):
     return {d: (find(d), links[d]) for d in sets}
 
 
-@pytest.mark.parametrize("limits", [(48, 128), (4, 8)])
+@pytest.mark.parametrize("limits", [(256, 2048, 1 << 19), (4, 8, 1000)])
 def test_near_duplicates_match_brute_force(docs, clashing, none, doc_rows, limits, monkeypatch):
-    """Also with limits so small that buckets are split, and brute-forced in blocks."""
-    monkeypatch.setattr(jaccard, "LIMIT", limits[0])
-    monkeypatch.setattr(jaccard, "BLOCK", limits[1])
+    """Also with limits so small that buckets meet pivots and are split, and components are compared in blocks."""
+    for name, value in zip(("LIMIT", "ROWS", "BUDGET"), limits, strict=True):
+        monkeypatch.setattr(jaccard, name, value)
     got = jaccard.near_duplicates(docs if limits[0] > 4 else clashing).collect()
     assert len(got) == len(doc_rows)
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == brute_links(doc_rows)
     if limits[0] > 4:
         assert jaccard.near_duplicates(none).count() == 0
         kept = {r["doc_id"] for r in jaccard.keep_one(docs).collect()}
+        assert {r["doc_id"] for r in jaccard.keep_one(clashing).collect()} == kept
         assert kept == {c for c, _ in brute_links(doc_rows).values()}
 
 
+def near_rows(shape: str) -> list[tuple]:
+    """Groups that do not shrink by splitting: variants of one text, texts around one passage, and texts that differ in one word."""
+    rng = random.Random(11)
+    core = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+    out = []
+    for k in range(160):
+        words = list(core)
+        if shape == "variants":
+            for _ in range(rng.randint(0, 9)):
+                words[rng.randrange(160)] = f"v{rng.randrange(10**6)}"
+        elif shape == "passage":
+            words = [f"a{rng.randrange(10**6)}" for _ in range(rng.randint(5, 200))] + core[:60] + [f"z{rng.randrange(10**6)}" for _ in range(rng.randint(5, 200))]
+        else:
+            words = words * 6 + [f"end{k % 90}"]
+        out.append((k, " ".join(words)))
+    return out
+
+
+@pytest.mark.parametrize("shape", ["variants", "passage", "ends"])
+def test_groups_that_do_not_shrink(spark, shape, monkeypatch):
+    monkeypatch.setattr(jaccard, "LIMIT", 8)
+    monkeypatch.setattr(jaccard, "ROWS", 50)
+    rows = near_rows(shape)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == brute_links(rows)
+
+
+def test_overlaps_match_sets(monkeypatch):
+    monkeypatch.setattr(jaccard, "DENSE", 4)
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 60, rng.integers(0, 80)).astype(np.uint64) for _ in range(12)]
+    n, both = jaccard._overlaps(np.concatenate(sets), np.array([len(s) for s in sets]))
+    assert n.tolist() == [len(set(s.tolist())) for s in sets]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    off = ~np.eye(12, dtype=bool)
+    assert (both == np.array(want))[off].all()
+
+
 def test_runs_follow_the_recall():
     assert jaccard.runs_for(0.9) < jaccard.runs_for(0.99) < jaccard.runs_for(0.999)
 
