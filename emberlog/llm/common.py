@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.shipping import ship
@@ -19,7 +20,7 @@ SMALL_BYTES = 256 << 20
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder. One that is small and in fewer files than there are cores is dealt out anew, since a
-    file of one row group is one task; larger tables are read as they lie."""
+    file of one row group is one task; larger tables are read as they lie. This changes the plan only, never a result."""
     ship(spark)
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
@@ -28,15 +29,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share. A local one stands in only where the session names none and all
+    runs in one process (tests); on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_FOLDER:
         _OWN_FOLDER.append(tempfile.mkdtemp(prefix="emberlog-"))
     return f"file://{_OWN_FOLDER[0]}"
 
 
+def held(docs: DataFrame, **columns: Column) -> DataFrame:
+    """docs as one column `row` beside columns of the operator's own, so that names cannot clash; see freed()."""
+    return docs.select(F.struct("*").alias("row"), *(c.alias(n) for n, c in columns.items()))
+
+
+def freed(df: DataFrame, names: list[str], **columns: Column) -> DataFrame:
+    """The columns `names` of the rows of held(), those in `columns` replaced."""
+    return df.select(*(columns[n].alias(n) if n in columns else F.col("row").getField(n).alias(n) for n in names))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -71,6 +85,13 @@ def drop_stored(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def released(df: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of finished steps now. Else they stay until the driver's next garbage
+    collection, half an hour at worst, and fill the executors' disks meanwhile."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 BITS = 1 << 24
 _BLOCK = 1 << 16
 

@@ -5,20 +5,26 @@ document. Every window is known by its anchor, the K-gram in it with the smalles
 windows share; so only suffixes at anchors are sorted, about one in 76. Three passes:
 
 1. Anchor hashes are counted; those seen twice set bits in a bitmap of fixed size.
-2. Anchors that pass it come with their surroundings: the bytes that windows over them can reach.
-   Equal surroundings form a class, and all windows of a class of two or more are repeats. Classes
-   of one anchor hash meet in a task, where what follows and what precedes the anchors is sorted:
+2. Anchors that pass it leave a few numbers each: a 128-bit digest of their surroundings (the bytes that
+   windows over them can reach) and their place. Equal surroundings form a class, and all windows of a
+   class of two or more are repeats.
+3. Where an anchor hash has several classes, and only there, the surroundings of one member of each are
+   cut out of the texts. They meet in a task, where what follows and what precedes the anchors is sorted:
    multikey quicksort over 8-byte characters to a shallow depth, blind tries for what is still
    tied. Two anchors share the window that starts d bytes before them if at least d bytes agree to
    the left and WINDOW - d to the right, which the sorted orders and their common prefixes tell.
-3. The spans found are merged by document and taken out of the text.
+4. The spans found are merged by document and taken out of the text.
+
+A document is known by its id and a 64-bit hash of its text. Tables written on the way go, and shuffle files
+of finished steps are released, as soon as nothing reads them.
 
 An anchor with more than LIMIT classes (a passage in many unlike documents) is not collected: its
 range of d is halved and its classes dealt out anew by the bytes that all windows of a half share,
 until groups are small; equal surroundings collapse at each step, so a range of one d leaves nothing.
 
 Null counts as empty. Texts shorter than WINDOW lose nothing. Rows repeated with id and text are documents
-like any other: each is a repeat of the other. Bytes are UTF-8; what remains may not be.
+like any other: each is a repeat of the other. Ids may be of any type, null or repeated. Other columns of docs,
+of whatever names, are not read. An empty table gives an empty result. Bytes are UTF-8; what remains may not be.
 """
 
 from __future__ import annotations
@@ -31,8 +37,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from emberlog.llm.common import in_bitmap, key_bitmap, stored
+from emberlog.llm.common import drop_stored, in_bitmap, key_bitmap, released, stored, thin_out
 
 WINDOW = 200
 K = 50
@@ -151,32 +158,39 @@ def _count_anchors(docs: DataFrame) -> DataFrame:
 
 
 def _surroundings(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """(h, c1, c2, u, pos, left, right, ctx) of the anchors whose bit is set; ctx once for each class and batch."""
+    """(h, c1, c2, u, v, at) of the anchors whose bit is set: c1 and c2 are the digest of their surroundings, at is
+    place * 2^16 + bytes to the left * 2^8 + bytes to the right."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
     bits = len(bitmap) * 8
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts, us = [bytes(t) for t in pdf["data"]], pdf["u"].tolist()
-            rows, seen = [], set()
+            texts, us, vs = [bytes(t) for t in pdf["data"]], pdf["u"].to_numpy(), pdf["v"].to_numpy()
+            held, marks, count = [], [], 0
+
+            def flush() -> pd.DataFrame:
+                c = np.frombuffer(b"".join(marks), "<i8").reshape(-1, 2)
+                h, u, v, at = (np.concatenate(x) for x in zip(*held, strict=True))
+                return pd.DataFrame({"h": h, "c1": c[:, 0], "c2": c[:, 1], "u": u, "v": v, "at": at})
+
             for i, h, place in anchors(texts):
                 at = (h & np.uint64(bits - 1)).astype(np.int64)
                 on = (sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-                text, u, n = texts[i], us[i], len(texts[i])
-                for key, p in zip(h[on].astype(np.int64).tolist(), place[on].tolist(), strict=True):
-                    left, right = min(p, REACH), min(n - p, WINDOW)
-                    ctx = text[p - left : p + right]
-                    mark = hashlib.blake2b(ctx, digest_size=16, salt=left.to_bytes(2, "little")).digest()
-                    new = mark not in seen
-                    seen.add(mark)
-                    rows.append((key, int.from_bytes(mark[:8], "little", signed=True), int.from_bytes(mark[8:], "little", signed=True), u, p, left, right, ctx if new else None))
-                if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            yield pd.DataFrame(rows, columns=names)
-
-    names = ["h", "c1", "c2", "u", "pos", "left", "right", "ctx"]
-    return docs.select("u", "data").mapInPandas(run, "h long, c1 long, c2 long, u long, pos long, left int, right int, ctx binary")
+                if not on.any():
+                    continue
+                text, p = texts[i], place[on]
+                left, right = np.minimum(p, REACH), np.minimum(len(text) - p, WINDOW)
+                for lo, hi, n in zip((p - left).tolist(), (p + right).tolist(), left.tolist(), strict=True):
+                    marks.append(hashlib.blake2b(text[lo:hi], digest_size=16, salt=n.to_bytes(2, "little")).digest())
+                held.append((h[on].astype(np.int64), np.full(len(p), us[i]), np.full(len(p), vs[i]), p << 16 | left << 8 | right))
+                count += len(p)
+                if count > 100_000:
+                    yield flush()
+                    held, marks, count = [], [], 0
+            if held:
+                yield flush()
+
+    return docs.select("u", "v", "data").mapInPandas(run, "h long, c1 long, c2 long, u long, v long, at long")
 
 
 def blind_trie_order(strings: list[bytes]) -> list[int]:
@@ -218,31 +232,49 @@ def blind_trie_order(strings: list[bytes]) -> list[int]:
 
 
 def deep_shallow(matrix: np.ndarray, group: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
-    """The order of the rows of matrix (rows, bytes) by (group, bytes)."""
+    """The order of the rows of matrix (rows, bytes) by (group, bytes).
+
+    Multikey quicksort, all segments of a level at once: each is parted at a pivot, its middle row's character
+    at its depth (a character is 8 bytes), into less, equal and greater; only the equal part goes one
+    character deeper. What is tied at the shallow depth is left to blind tries.
+    """
     wide = -(-matrix.shape[1] // 8) * 8
     padded = np.zeros((len(matrix), wide), np.uint8)
     padded[:, : matrix.shape[1]] = matrix
     words = padded.view(">u8").astype(np.uint64)
+    deepest = min(shallow // 8, words.shape[1])
     order = np.argsort(group, kind="stable")
-    tied = np.arange(len(order))  # places in order whose rows are not yet told apart
-    bucket = group[order]
-    for k in range(min(shallow // 8, words.shape[1])):
-        if not len(tied):
-            return order
-        rows = order[tied]
-        own = words[rows, k]
-        sub = np.lexsort((own, bucket))
-        order[tied] = rows[sub]
-        own, bucket = own[sub], bucket[sub]
-        new = np.r_[True, (bucket[1:] != bucket[:-1]) | (own[1:] != own[:-1])]
-        bucket = np.cumsum(new)
-        more = np.bincount(bucket)[bucket] > 1
-        tied, bucket = tied[more], bucket[more]
-    if len(tied):
-        at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        for lo, hi in zip(at, np.r_[at[1:], len(tied)], strict=True):
-            rows = order[tied[lo:hi]]
-            order[tied[lo:hi]] = rows[blind_trie_order([padded[r].tobytes() for r in rows])]
+    own = group[order]
+    places = np.arange(len(order))  # places in order whose rows are in segments of two or more
+    segment = np.cumsum(np.r_[True, own[1:] != own[:-1]]) - 1 if len(own) else places
+    depth = np.zeros(len(order), np.int64)
+    tied: list[np.ndarray] = []
+    while True:
+        more = np.bincount(segment)[segment] > 1 if len(segment) else np.zeros(0, bool)
+        places, segment, depth = places[more], segment[more], depth[more]
+        deep = depth >= deepest
+        if deep.any():
+            at = places[deep]
+            cut = np.flatnonzero(np.diff(segment[deep])) + 1
+            tied += np.split(at, cut)
+            places, segment, depth = places[~deep], segment[~deep], depth[~deep]
+        if not len(places):
+            break
+        first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+        size = np.diff(np.r_[first, len(segment)])
+        rows = order[places]
+        character = words[rows, depth]
+        pivot = np.repeat(character[first + size // 2], size)
+        side = 1 + (character > pivot) - (character < pivot).astype(np.int64)
+        part = np.repeat(np.arange(len(first)), size) * 3 + side
+        sub = np.argsort(part, kind="stable")
+        order[places] = rows[sub]
+        part = part[sub]
+        depth = depth + (part % 3 == 1)
+        segment = np.cumsum(np.r_[True, part[1:] != part[:-1]]) - 1
+    for at in tied:
+        rows = order[at]
+        order[at] = rows[blind_trie_order([padded[r].tobytes() for r in rows])]
     return order
 
 
@@ -285,16 +317,20 @@ def repeats(group: np.ndarray, ctx: list[bytes], left: np.ndarray, lo: np.ndarra
     return out
 
 
-def _spans(flags: np.ndarray, u: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
-    """(u, start, end) of the bytes that each row's repeated windows cover, run by run of d."""
+#: Spans are carried as start * 2^12 + length.
+SPAN = 12
+
+
+def _spans(flags: np.ndarray, u: np.ndarray, v: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
+    """(u, v, span) of the bytes that each row's repeated windows cover, run by run of d."""
     edge = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, first = np.nonzero(edge == 1)
     _, last = np.nonzero(edge == -1)
-    return pd.DataFrame({"u": u[row], "start": pos[row] - (last - 1), "end": pos[row] - first + WINDOW})
+    return pd.DataFrame({"u": u[row], "v": v[row], "span": (pos[row] - (last - 1)) << SPAN | (last - 1 - first + WINDOW)})
 
 
 def _sort_groups(rows: DataFrame) -> DataFrame:
-    """(u, start, end) from groups (key, u, pos, left, lo, hi, alone, ctx) of at most LIMIT rows each; for rows alone in their class."""
+    """(u, v, span) from groups (key, u, v, pos, left, lo, hi, alone, ctx) of at most LIMIT rows each; for rows alone in their class."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -305,7 +341,7 @@ def _sort_groups(rows: DataFrame) -> DataFrame:
             group = np.cumsum(np.r_[True, key[1:] != key[:-1]])
             flags = repeats(group, [bytes(c) for c in pdf["ctx"]], pdf["left"].to_numpy(), pdf["lo"].to_numpy(), pdf["hi"].to_numpy())
             alone = pdf["alone"].to_numpy()
-            return _spans(flags[alone], pdf["u"].to_numpy()[alone], pdf["pos"].to_numpy()[alone])
+            return _spans(flags[alone], *(pdf[c].to_numpy()[alone] for c in ("u", "v", "pos")))
 
         for pdf in batches:
             if not len(pdf):
@@ -322,12 +358,13 @@ def _sort_groups(rows: DataFrame) -> DataFrame:
         if count:
             yield work(pd.concat(held, ignore_index=True))
 
-    return rows.repartition("key").sortWithinPartitions("key").select("key", "u", "pos", "left", "lo", "hi", "alone", "ctx").mapInPandas(run, "u long, start long, end long")
+    own = rows.select("key", "u", "v", "pos", "left", "lo", "hi", "alone", "ctx").repartition("key").sortWithinPartitions("key")
+    return own.mapInPandas(run, "u long, v long, span long")
 
 
-def _span(lo: str, hi: str) -> list:
+def _span(lo: str, hi: str):
     """The bytes that windows from d = hi to d = lo before an anchor cover together."""
-    return [(F.col("pos") - F.col(hi)).alias("start"), (F.col("pos") - F.col(lo) + WINDOW).alias("end")]
+    return ((F.col("pos") - F.col(hi)) * (1 << SPAN) + F.col(hi) - F.col(lo) + WINDOW).alias("span")
 
 
 def _halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -340,44 +377,77 @@ def _halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     # What windows of the half can reach, and where a text ends inside that.
     reach = F.expr(f"substring(ctx, left - hi + 1, {WINDOW} - lo + hi)")
     two = stored(two.withColumns({"key": F.xxhash64("key", "dlo", "dhi", core), "mark": F.md5(F.concat(reach, F.encode(F.concat_ws(",", "lo", "hi"), "utf-8")))}), "halves")
-    same = two.groupBy("key", "mark").agg(F.count("*").alias("n"), F.min(F.struct("u", "pos")).alias("first"))
+    same = two.groupBy("key", "mark").agg(F.count("*").alias("n"), F.min(F.struct("u", "v", "pos")).alias("first"))
     met = two.join(same, ["key", "mark"])
-    settled = met.where("n > 1").select("u", *_span("lo", "hi"))
-    return settled, met.where((F.col("first.u") == F.col("u")) & (F.col("first.pos") == F.col("pos"))).withColumn("alone", F.col("alone") & (F.col("n") == 1)).drop("first", "n", "mark")
+    settled = met.where("n > 1").select("u", "v", _span("lo", "hi"))
+    first = met.where(F.struct("u", "v", "pos") == F.col("first"))
+    return settled, first.withColumn("alone", F.col("alone") & (F.col("n") == 1)).drop("first", "n", "mark")
+
 
+def _in_groups(rows: DataFrame) -> DataFrame:
+    """rows (key, …) whose key others have too, with the size of their group."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return rows.join(sizes, "key")
 
-def find_repeats(docs: DataFrame) -> DataFrame:
-    """(u, start, end): spans of bytes to remove, overlapping, of documents (u, data)."""
+
+def find_repeats(docs: DataFrame, made: list[DataFrame]) -> DataFrame:
+    """(u, v, span): spans of bytes to remove, overlapping, of documents (u, v, data); see SPAN. Tables that it reads join made."""
     seen = _count_anchors(docs).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     bitmap = key_bitmap(seen, "h", ANCHOR_BITS, hashed=True)
     rows = stored(_surroundings(docs, bitmap), "anchors")
-    classes = rows.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("u", "pos")).alias("first"), F.first("left").alias("left"), F.first("right").alias("right"), F.max("ctx").alias("ctx"))
-    # A class of more than one is settled as a whole; its first row stands for it in its group, where others may meet it.
-    classes = classes.withColumns({"u": F.col("first.u"), "pos": F.col("first.pos"), "alone": F.col("n") == 1, "key": F.col("h"), "lo": F.greatest(F.lit(0), F.lit(WINDOW) - F.col("right")), "hi": F.col("left")}).where("lo <= hi").drop("h", "right", "first")
+    classes = rows.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.first("h").alias("h"), F.min(F.struct("u", "v", "at")).alias("first"))
+    left, right = F.shiftright("first.at", 8).bitwiseAND(F.lit(255)).cast("int"), F.col("first.at").bitwiseAND(F.lit(255)).cast("int")
+    classes = classes.select("c1", "c2", "n", F.col("h").alias("key"), "first.u", "first.v", F.shiftright("first.at", 16).alias("pos"), left.alias("left"), right.alias("right"))
+    classes = classes.withColumns({"lo": F.greatest(F.lit(0), F.lit(WINDOW) - F.col("right")), "hi": F.col("left")}).where("lo <= hi")
     classes = stored(classes, "anchor-classes")
-    settled = rows.join(classes.where("n > 1").select(F.col("key").alias("h"), "c1", "c2", "lo", "hi"), ["h", "c1", "c2"]).select("u", *_span("lo", "hi"))
-    found = [settled]
-    live = classes.drop("n", "c1", "c2").withColumns({"dlo": F.lit(0), "dhi": F.lit(REACH)})
-    while True:
-        sizes = live.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        sized = stored(live.join(sizes, "key"), "anchor-groups")
-        found.append(_sort_groups(sized.where(F.col("size") <= LIMIT)))
-        large = sized.where(F.col("size") > LIMIT).drop("size")
-        if not large.limit(1).count():
-            break
+    # A class of more than one is settled as a whole; one member stands for it in its group, where others may meet it.
+    many = classes.where("n > 1").select("c1", "c2", "lo", "hi")
+    found = [rows.select("c1", "c2", "u", "v", F.shiftright("at", 16).alias("pos")).join(many, ["c1", "c2"]).select("u", "v", _span("lo", "hi"))]
+    found = [stored(found[0], "spans")]
+    made.append(found[0])
+    drop_stored(rows)
+    groups = stored(_in_groups(classes.withColumn("alone", F.col("n") == 1).drop("n", "c1", "c2")), "anchor-groups")
+    drop_stored(classes)
+    released(docs)
+    texts = thin_out(docs, "u", groups, "u")
+    met = groups.join(texts, ["u", "v"]).withColumn("ctx", F.expr("substring(data, cast(pos - left + 1 as int), left + right)")).drop("data", "right")
+    found.append(stored(_sort_groups(met.where(F.col("size") <= LIMIT)), "spans"))
+    made.append(found[-1])
+    large = met.where(F.col("size") > LIMIT).drop("size").withColumns({"dlo": F.lit(0), "dhi": F.lit(REACH)})
+    large = stored(large, "large-groups")
+    made += [groups, large]
+    while large.limit(1).count():
         more, live = _halves(large)
         found.append(more)
+        groups = stored(_in_groups(live), "groups")
+        made.append(groups)
+        found.append(_sort_groups(groups.where(F.col("size") <= LIMIT)))
+        large = groups.where(F.col("size") > LIMIT).drop("size")
+    released(docs)
     return reduce(DataFrame.unionAll, found)
 
 
+def _spans_by_document(own: DataFrame) -> DataFrame:
+    """(u, v, spans): the spans of each document (u, v, data) that has any, sorted, in the shared folder."""
+    made: list[DataFrame] = []
+    found = find_repeats(own, made)
+    out = stored(found.groupBy("u", "v").agg(F.sort_array(F.collect_set("span")).alias("spans")), "document-spans")
+    for df in made:
+        drop_stored(df)
+    del found
+    released(own)
+    return out
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept, kept_sha256) of every row of docs; kept is binary."""
     spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType
+    whole = isinstance(kind, (ByteType, ShortType, IntegerType, LongType))
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
-    own = own.withColumn("u", F.xxhash64("id", "data"))
-    spans = stored(find_repeats(own).groupBy("u").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
-    may = in_bitmap(spark, key_bitmap(spans, "u"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    own = own.withColumns({"u": F.coalesce(F.col("id").cast("long"), F.lit(0)) if whole else F.xxhash64("id"), "v": F.xxhash64("data")})
+    spans = _spans_by_document(own.select("u", "v", "data"))
+    may = in_bitmap(spark, key_bitmap(spans, "v"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -386,21 +456,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 data = bytes(data)
                 kept, at, runs, gone = [], 0, 0, 0
                 end = -1
-                for s in spans if spans is not None else ():
-                    if s["start"] > end:
-                        kept.append(data[at : s["start"]])
+                for span in spans if spans is not None else ():
+                    start, stop = int(span) >> SPAN, (int(span) >> SPAN) + (int(span) & ((1 << SPAN) - 1))
+                    if start > end:
+                        kept.append(data[at:start])
                         runs += 1
-                        gone += s["end"] - s["start"]
-                    elif s["end"] > end:
-                        gone += s["end"] - end
-                    at = end = max(end, s["end"])
+                        gone += stop - start
+                    elif stop > end:
+                        gone += stop - end
+                    at = end = max(end, stop)
                 kept.append(data[at:])
                 left = b"".join(kept)
                 out.append((doc, len(data), gone, runs, left, hashlib.sha256(left).hexdigest()))
             yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    with_spans = own.where(may(F.col("u"))).join(spans, "u", "left").select(F.col("id").cast("string").alias("id"), "data", "spans")
+    with_spans = own.where(may(F.col("v"))).join(spans, ["u", "v"], "left").select(F.col("id").cast("string").alias("id"), "data", "spans")
     touched = with_spans.mapInPandas(cut, "id string, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string").withColumn("id", F.col("id").cast(kind))
     zero = F.lit(0).cast("long")
-    others = own.where(~may(F.col("u"))).select("id", F.octet_length("data").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("data").alias("kept"), F.sha2("data", 256).alias("kept_sha256"))
+    others = own.where(~may(F.col("v"))).select("id", F.octet_length("data").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("data").alias("kept"), F.sha2("data", 256).alias("kept_sha256"))
     return touched.unionAll(others).withColumnRenamed("id", id_col)
