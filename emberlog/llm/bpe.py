@@ -4,7 +4,13 @@ The vocabulary file is that of the tokenizers library with the normaliser NFC, w
 case, a letters/number/other split and byte-level symbols with a word end. The symbols of many
 words lie in one flat array. Each round finds every word's lowest-rank adjacent pair by binary
 search over sorted pair keys and merges it in all words at once, until no word has a pair left.
-Texts of any length are encoded whole. A text null or empty has no ids and decodes to "".
+What stands between white space (a chunk) is known by two 64-bit hashes, found for all chunks of about a
+million characters at once, and the ids of the most used chunks are remembered in flat arrays.
+
+Texts of any length are encoded whole, in pieces cut at white space. A text null or empty has no ids and
+decodes to "". Repeated rows are encoded each for itself, ids may be of any type or null, other columns of whatever
+names are not read, and an empty table gives no rows. Letters and digits follow the Unicode tables of the regex
+module; those of a version newer than the tokenizers library's are letters here and other characters there. Ties do not arise: of equal pairs the leftmost is merged.
 """
 
 from __future__ import annotations
@@ -25,7 +31,6 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 # White space of the Unicode standard; str.split() also splits at \x1c-\x1f, which are not.
 SPACE = "\t-\r \x85\xa0  -     　"
-NOT_SPACE = regex.compile("[\x1c-\x1f]")
 NONE = np.int32(2**31 - 1)
 
 
@@ -39,7 +44,7 @@ def byte_symbols() -> list[str]:
 class Bpe:
     """An encoder and decoder over one vocabulary file. keep: most chunks of text whose ids are remembered."""
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -65,15 +70,10 @@ class Bpe:
         self.word = regex.compile(WORD + "| ")
         self.space = regex.compile(f"[{SPACE}]+")
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        # Whether a code point is white space; the last entry stands for all beyond.
+        self.is_space = np.array([self.space.match(chr(c)) is not None for c in range(0x3001)] + [False])
         self.keep = keep
-        self.forget()
-
-    def forget(self) -> None:
-        self.seen: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.at = np.zeros(1 << 14, np.int64)
-        self.count = np.zeros(1 << 14, np.int64)
+        self.memory = Memory()
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) * self.size + b
@@ -130,8 +130,8 @@ class Bpe:
         order = np.argsort(word, kind="stable")
         return sym[order], np.bincount(word, minlength=len(words))
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encodes chunks (no white space in them) not seen before."""
+    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks (no white space in them), one after the other, and the number of ids of each."""
         parts = None  # of each chunk: plain strings and special tokens in turn, where there is a special token
         plain = chunks
         if self.split_special and any("<|" in c for c in chunks):
@@ -151,8 +151,7 @@ class Bpe:
         ids, lengths = gather(ids, first[words], count[words]), count[words]
         plain_end = np.r_[0, np.r_[0, np.cumsum(lengths)][ends]]
         if parts is None:
-            self._add(chunks, ids, np.diff(plain_end))
-            return
+            return ids, np.diff(plain_end)
         pieces, sizes, k = [], [], 0
         for c in parts:
             own = []
@@ -164,57 +163,146 @@ class Bpe:
                     k += 1
             pieces += own
             sizes.append(sum(map(len, own)))
-        self._add(chunks, np.concatenate(pieces), np.array(sizes))
-
-    def _add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, more = len(self.seen), len(chunks)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + more > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.at[n : n + more] = self.used + np.cumsum(sizes) - sizes
-        self.count[n : n + more] = sizes
-        self.used += len(ids)
-        self.seen.update(zip(chunks, range(n, n + more), strict=True))
+        return np.concatenate(pieces), np.array(sizes)
+
+    def _pieces(self, text: str) -> Iterator[str]:
+        """text in pieces of about ROOM characters, cut at white space."""
+        at = 0
+        while len(text) - at > ROOM and (m := self.space.search(text, at + ROOM)):
+            yield text[at : m.start()]
+            at = m.end()
+        yield text[at:]
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids (uint32) of each text, in order."""
-        group: list[list[str]] = []
+        group: list[str] = []
         room = 0
         for text in texts:
             text = text or ""
-            group.append(self.space.split(text) if NOT_SPACE.search(text) else text.split())
-            room += len(text)
-            if room > 1 << 20:
+            if room + len(text) > ROOM and group:
                 yield from self._encode(group)
                 group, room = [], 0
+            if len(text) > 2 * ROOM:
+                yield np.concatenate([self._encode([p])[0] for p in self._pieces(text)])
+                continue
+            group.append(text)
+            room += len(text)
         if group:
             yield from self._encode(group)
 
-    def _encode(self, group: list[list[str]]) -> Iterator[np.ndarray]:
-        if len(self.seen) > self.keep:
-            self.forget()
-        size = np.fromiter(map(len, group), np.int64, len(group))
-        every = [c for chunks in group for c in chunks]
-        get = self.seen.get
-        i = np.fromiter([get(c, -1) for c in every], np.int64, len(every))
-        unknown = np.flatnonzero(i < 0)
-        if len(unknown):
-            missed = [every[k] for k in unknown.tolist()]
-            self._learn(list(dict.fromkeys(missed)))
-            i[unknown] = np.fromiter(map(self.seen.__getitem__, missed), np.int64, len(missed))
-        count = self.count[i]
-        ids = gather(self.flat, self.at[i], count).astype(np.uint32)
-        ends = np.r_[0, np.cumsum(count)][np.cumsum(size)]
-        yield from np.split(ids, ends[:-1])
+    def _encode(self, group: list[str]) -> list[np.ndarray]:
+        joined = "\n".join(group) + "\n"
+        code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        space = self.is_space[np.minimum(code, len(self.is_space) - 1)]
+        start = np.flatnonzero(~space & np.r_[True, space[:-1]])
+        end = np.flatnonzero(space & np.r_[False, ~space[:-1]])
+        bounds = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 1)
+        size = np.bincount(np.searchsorted(bounds, start, side="right"), minlength=len(group))
+        # Each chunk's entry among `names`: short ones by their hashes, long ones each for itself.
+        brief = end - start <= BRIEF
+        key, other = hashes_of(code, start[brief], end[brief])
+        unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        if (other[first][inverse] != other).any():  # two chunks of one key: tell them apart by both hashes
+            unique, first, inverse = np.unique(np.stack([key, other], 1), axis=0, return_index=True, return_inverse=True)
+            unique, inverse = unique[:, 0], inverse.reshape(-1)
+        other = other[first]
+        known = self.memory.find(unique, other)
+        missed = np.flatnonzero(known < 0)
+        long = np.flatnonzero(~brief)
+        where = np.r_[np.flatnonzero(brief)[first[missed]], long]
+        ids, count = self._learn([joined[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)]) if len(where) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        at = len(self.memory.flat) + np.cumsum(count) - count
+        entry_at, entry_count = np.empty(len(unique), np.int64), np.empty(len(unique), np.int64)
+        hit = known >= 0
+        entry_at[hit], entry_count[hit] = self.memory.at[known[hit]], self.memory.count[known[hit]]
+        entry_at[missed], entry_count[missed] = at[: len(missed)], count[: len(missed)]
+        chunk_at, chunk_count = np.empty(len(start), np.int64), np.empty(len(start), np.int64)
+        chunk_at[brief], chunk_count[brief] = entry_at[inverse], entry_count[inverse]
+        chunk_at[long], chunk_count[long] = at[len(missed) :], count[len(missed) :]
+        flat = np.concatenate([self.memory.flat, ids])
+        out = gather(flat, chunk_at, chunk_count).astype(np.uint32)
+        ends = np.r_[0, np.cumsum(chunk_count)][np.cumsum(size)]
+        uses = np.bincount(inverse, minlength=len(unique))
+        self.memory.used[known[hit]] += uses[hit]
+        n = int(count[: len(missed)].sum())
+        self.memory.add(unique[missed], other[missed], uses[missed], flat[: len(self.memory.flat) + n], at[: len(missed)], count[: len(missed)], self.keep)
+        return np.split(out, ends[:-1])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids in UTF-8: this vocabulary file has no decoder, so tokens are joined by a space."""
         return b" ".join(map(self.names.__getitem__, ids.tolist()))
 
 
+ROOM = 1 << 20
+#: Longest chunk that is known by its hashes. Polynomials modulo 2^64 have systematic clashes from about 1,000 characters on.
+BRIEF = 64
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_POWERS: list[np.ndarray] = []
+_VALUES: list[np.ndarray] = []
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def hashes_of(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each run code[start:end] of code points."""
+    if not _VALUES:
+        points = np.arange(0x110000, dtype=np.uint64)
+        _VALUES.extend(_mix(points + np.uint64(salt)) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+    if not _POWERS or len(_POWERS[0]) < len(code) + 1:
+        size = max(ROOM * 2, len(code) + 1)
+        _POWERS[:] = []
+        for base in (_BASE, _UNBASE):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            _POWERS.append(np.multiply.accumulate(p))
+    up, down = _POWERS
+    out = []
+    sums = np.zeros(len(code) + 1, np.uint64)
+    for values in _VALUES:
+        np.cumsum(values[code] * up[: len(code)], out=sums[1:])
+        out.append(_mix((sums[end] - sums[start]) * down[start]))
+    return out[0], out[1]
+
+
+class Memory:
+    """The ids of chunks known by two hashes: arrays sorted by the first, ids in one flat array."""
+
+    def __init__(self) -> None:
+        self.key, self.other = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.at, self.count, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    def find(self, key: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """The entry of each chunk, or -1."""
+        if not len(self.key):
+            return np.full(len(key), -1, np.int64)
+        i = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where((self.key[i] == key) & (self.other[i] == other), i, -1)
+
+    def add(self, key: np.ndarray, other: np.ndarray, used: np.ndarray, flat: np.ndarray, at: np.ndarray, count: np.ndarray, keep: int) -> None:
+        if not len(key):
+            return
+        self.flat = flat
+        every = [np.concatenate(x) for x in ((self.key, key), (self.other, other), (self.at, at), (self.count, count), (self.used, used))]
+        if len(every[0]) > keep:
+            # The more used half stays; counts halve, so that what was frequent long ago goes in the end.
+            stay = np.argpartition(every[4], -(keep // 2))[-(keep // 2) :]
+            stay.sort()
+            every = [x[stay] for x in every]
+            self.flat = gather(self.flat, every[2], every[3])
+            every[2] = np.cumsum(every[3]) - every[3]
+            every[4] = every[4] >> 1
+        order = np.argsort(every[0], kind="stable")
+        self.key, self.other, self.at, self.count, self.used = (x[order] for x in every)
+
+
 def gather(flat: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The runs flat[at:at+count], one after the other."""
     total = int(count.sum())

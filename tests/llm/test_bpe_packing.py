@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -40,6 +41,19 @@ def test_small_memory_gives_the_same_ids(doc_rows):
     assert all(np.array_equal(a, b) for a, b in zip(small.encode_batch(texts), OWN.encode_batch(texts), strict=True))
 
 
+def test_long_texts_and_chunks_give_the_same_ids(doc_rows, monkeypatch):
+    """Texts cut at white space, chunks beyond the hashed length, every white space, and keys that clash."""
+    texts = [t for _, t, *_ in doc_rows] + ["x" * 500 + " " + "aé" * 70, "\u2003".join("abcd") * 40, "".join(chr(c) + "w" for c in range(0x3010) if unicodedata.category(chr(c)) != "Cn")]
+    want = [theirs(t) for t in texts]
+    assert [i.tolist() for i in bpe.Bpe(PATH).encode_batch(texts)] == want
+    monkeypatch.setattr(bpe, "ROOM", 300)
+    assert [i.tolist() for i in bpe.Bpe(PATH, keep=50).encode_batch(texts)] == want
+    plain = bpe.hashes_of
+    monkeypatch.setattr(bpe, "hashes_of", lambda *a: (plain(*a)[0] % np.uint64(7), plain(*a)[1]))
+    monkeypatch.setattr(bpe, "ROOM", 3000)
+    assert [i.tolist() for i in bpe.Bpe(PATH).encode_batch(texts)] == want
+
+
 def test_query_rows(docs, clashing, none, doc_rows):
     want = sorted((d, len(i := theirs(t)), hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest(), hashlib.sha256(THEIRS.decode(i, skip_special_tokens=False).encode()).hexdigest()) for d, t, *_ in doc_rows)
     for df in (docs, clashing):
