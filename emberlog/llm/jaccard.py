@@ -22,7 +22,8 @@ any third text, and the number of links is exact. A component of more than BUDGE
 is dealt over blocks, each pair of which meets in a task; only counts and a spanning forest leave it.
 
 Null counts as empty. Texts without words are copies of one another and have no other links. Rows repeated
-with their id count as copies. Documents need ids; rows with a null id are left out.
+with their id count as copies. Documents need ids; rows with a null id are left out. Columns of docs may have
+any names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,14 +38,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import components, drop_stored, split_off, stored, thin_out
+from emberlog.llm.common import components, drop_stored, freed, held, split_off, stored, thin_out
 
 WORDS = 5
 THRESHOLD = (4, 5)
 PLACES = 64
-LIMIT = 256
-#: Splits after which runs still meet a pair at the threshold with the target recall: 256 * 2^DEPTH rows at a similarity of a half.
-DEPTH = 5
+LIMIT = 1024
+#: Splits after which runs still meet a pair at the threshold with the target recall: LIMIT * 2^DEPTH rows at a similarity of a half.
+DEPTH = 4
 #: Shingles and classes of one block in the exact comparison.
 BUDGET = 1 << 19
 ROWS = 2048
@@ -294,11 +295,11 @@ def candidates(reps: DataFrame) -> DataFrame:
         large = sized.where(F.col("n") > LIMIT).drop("n")
         if not large.limit(1).count():
             break
-        held = stored(_against_pivots(large.join(large.where("rep = pivot").select("key", F.col("sketch").alias("head")), "key")), "held")
-        done.append(held)
-        edges.append(held.where((F.col("agree") >= LINK) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-        loose = held.where(F.col("agree") < LINK).select("key").distinct()
-        live = _split(held.where(F.col("agree") < HOLD).join(loose, "key", "left_semi").select("key", "rep", "sketch"))
+        against = stored(_against_pivots(large.join(large.where("rep = pivot").select("key", F.col("sketch").alias("head")), "key")), "against")
+        done.append(against)
+        edges.append(against.where((F.col("agree") >= LINK) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+        loose = against.where(F.col("agree") < LINK).select("key").distinct()
+        live = _split(against.where(F.col("agree") < HOLD).join(loose, "key", "left_semi").select("key", "rep", "sketch"))
     out = stored(reduce(DataFrame.unionAll, edges), "candidates")
     for df in (*done, heads):
         drop_stored(df)
@@ -402,7 +403,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = near_duplicates(docs, id_col, text_col)
     gone = stored(found.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("gone")).distinct(), "gone")
-    held = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("key"))
-    may, stays = split_off(held, "key", gone, "gone")
+    may, stays = split_off(held(docs, key=F.col(id_col).cast("long")), "key", gone, "gone")
     left = may.join(gone, F.col("key") == F.col("gone"), "left_anti")
-    return stays.select("row.*").unionAll(left.select("row.*"))
+    return freed(stays.select("row").unionAll(left.select("row")), docs.columns)
