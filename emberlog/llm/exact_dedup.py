@@ -9,7 +9,8 @@ texts of groups of two and more.
 
 Null counts as empty, and empty texts are equal. Of equal texts the row with the largest id stays;
 rows repeated with their id all count in group_size and carry the same verdict. Rows whose id is null
-form groups like others but stay only if no other row of the group has an id.
+form groups like others but stay only if no other row of the group has an id. Columns of docs may have any
+names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import split_off, stored, thin_out
+from emberlog.llm.common import freed, held, split_off, stored, thin_out
 
 CHUNK = 1 << 16
 PRIMES = (2**31 - 1, 2**31 - 19)
@@ -137,10 +138,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows without a copy pass without a join. Only groups of two and more meet their verdicts.
     """
     copies = stored(find_copies(docs, id_col, text_col), "copies")
-    groups = copies.where("group_size > 1").select(F.col(id_col).alias("_id"), F.col("kept").alias("_kept"), F.col("text_sha256").alias("_sha")).distinct()
-    may, alone = split_off(docs.withColumn("_key", F.col(id_col).cast("long")), "_key", groups, "_id")
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    met = may.withColumn("_mark", sha).join(groups, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_sha")), "left")
-    single = met.where("_kept is null").select(*docs.columns)
-    stays = met.where("_kept").dropDuplicates(["_key", "_mark"]).select(*docs.columns)
-    return alone.select(*docs.columns).unionAll(single).unionAll(stays)
+    groups = copies.where("group_size > 1").select(F.col(id_col).alias("member"), "kept", F.col("text_sha256").alias("sha")).distinct()
+    rows = held(docs, key=F.col(id_col).cast("long"), mark=F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    may, alone = split_off(rows, "key", groups, "member")
+    met = may.join(groups, F.col("key").eqNullSafe(F.col("member")) & (F.col("mark") == F.col("sha")), "left")
+    stays = met.where("kept is null").unionAll(met.where("kept").dropDuplicates(["key", "mark"]))
+    return freed(alone.select("row").unionAll(stays.select("row")), docs.columns)

@@ -8,7 +8,8 @@ text's n-grams, so a text of any length is read once, in one pass without a shuf
 
 A text that is null or has no letter gets `und` with score 0. Where nothing is learned (an empty
 table, no labels) every row gets `und`. Ties in votes go to the larger sum of margins, then to the
-name that sorts first.
+name that sorts first. Repeated rows are judged each for itself. predict() adds lang_pred and score to docs
+and replaces columns of these names; identify() and the pipeline's stage put columns of any names aside.
 """
 
 from __future__ import annotations

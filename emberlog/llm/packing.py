@@ -9,7 +9,8 @@ sequence. Pieces then find their place by rank among the pieces of their length.
 
 Null and empty texts have no ids and so form a piece of the end token alone; repeated rows are
 packed each for itself (pieces carry a row number besides the id); an empty table gives no rows.
-Only documents longer than the capacity are cut.
+Ids may be of any type or null; other columns of docs, of whatever names, are not read. Only documents longer
+than the capacity are cut.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ from emberlog.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SHARDS = 40
-# The stated rules, and words of hosts that are known to be bad.
+# The stated rules, and words of URLs that are known to be bad.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 BAD_WORDS = ["ads", "bets", "casino", "pills"]
 
@@ -27,7 +27,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels: a page is bad if its labels row is toxic or its host holds one of BAD_WORDS; any other page is not, with or without a labels row."""
+    """Labels: a page is bad if its labels row is toxic or its host or path holds one of BAD_WORDS; any other page is not, with or without a labels row."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     toxic = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("toxic"))
     known = pages.join(toxic, "page_id", "left").withColumns({"host": url_filter.host_of("url"), "path": url_filter.path_of("url")})

@@ -7,7 +7,8 @@ forest trained on labelled findings scores them: its trees are compiled to one S
 scan is a projection without a shuffle, a join or Python.
 
 Null text has no candidates; a null path counts as empty. Every match in a text of any length is
-scored; equal candidates at different places are scored each in their place.
+scored; equal candidates at different places are scored each in their place. Repeated rows are scanned each
+for itself, ids may be null, an empty table gives no rows, and columns of docs may have any names.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.llm.common import freed, held
+
 CUT = 0.5
 TREES = 25
 DEPTH = 6
@@ -195,7 +198,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
 def redact(docs: DataFrame, text_col: str = "text", path_col: str | None = "source", findings=None) -> DataFrame:
     """docs with every secret in the text replaced by MASK; all rows and columns stay, and other texts are untouched."""
     score = train(docs.sparkSession, findings)
-    rows = _scored(docs, text_col, path_col, score)
+    path = {"path": F.col(path_col)} if path_col else {}
+    rows = _scored(held(docs, text=F.col(text_col), **path), "text", "path" if path_col else None, score)
     put = f"transform(_gaps, (g, i) -> concat(g, CASE WHEN i >= size(_found) THEN '' WHEN _found[i].score >= {CUT} THEN '{MASK}' ELSE _found[i].v END))"
-    clean = F.when(F.exists("_found", lambda c: c["score"] >= CUT), F.expr(f"array_join({put}, '')")).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, clean).select(*docs.columns)
+    clean = F.when(F.exists("_found", lambda c: c["score"] >= CUT), F.expr(f"array_join({put}, '')")).otherwise(F.col("text"))
+    return freed(rows, docs.columns, **{text_col: clean})

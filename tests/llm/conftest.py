@@ -55,5 +55,5 @@ def clashing(docs):
     """docs with columns named as the operators' own."""
     from pyspark.sql import functions as F
 
-    names = ["id", "u", "data", "rep", "n", "key", "sketch", "piece", "length", "bucket", "rank", "h", "g", "size", "lang_pred", "score", "_found", "copies", "comp", "at", "part", "gone", "_gone", "_key", "_id", "_kept", "_mark", "_sha", "row", "_path", "_gaps", "class_id", "kept"]
+    names = ["id", "u", "data", "rep", "n", "key", "sketch", "piece", "length", "bucket", "rank", "h", "g", "size", "lang_pred", "score", "_found", "copies", "comp", "at", "part", "mark", "sha", "member", "place", "_language", "gone", "_gone", "_key", "_id", "_kept", "_mark", "_sha", "row", "_path", "_gaps", "class_id", "kept"]
     return docs.withColumns({n: F.lit("x") for n in names})

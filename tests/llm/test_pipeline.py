@@ -51,3 +51,14 @@ def test_an_empty_table_passes(spark, none):
     for _, stage in corpus_pipeline.STAGES:
         df = stage(spark, df, "")
     assert df.count() == 0
+
+
+def test_columns_of_any_names_pass_all_stages(spark, docs, clashing):
+    plain, other = docs, clashing
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, other = stage(spark, plain, "").cache(), stage(spark, other, "").cache()
+        assert other.columns == clashing.columns
+        assert sorted(map(tuple, other.select(*docs.columns).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str), name
+        assert other.where(" or ".join(f"`{c}` <> 'x'" for c in clashing.columns if c not in docs.columns)).count() == 0
+    pieces = [corpus_pipeline.pack(spark, df, "").select("doc_id", "piece", "length", "ids_crc32") for df in (plain, other)]
+    assert sorted(map(tuple, pieces[0].collect())) == sorted(map(tuple, pieces[1].collect()))
