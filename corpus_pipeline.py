@@ -1,7 +1,12 @@
 """The corpus pipeline: language ID, exact dedup, near-duplicate join, secret scan and packing over documents.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last
-return the columns of documents.
+return the columns of documents, and any others that docs has, whatever their names: the stages hold the
+row aside and add columns of their own beside it.
+
+Rows repeated with their id and text are one document after the dedup stage. Rows with a null id pass all
+stages: the dedup stage keeps one of equal texts, and the near-duplicate stage, which needs ids, keeps them
+all. Every stage of an empty table is empty.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import exact_dedup, jaccard, language, packing, secrets
-from emberlog.llm.common import stored, table
+from emberlog.llm.common import freed, held, stored, table
 from emberlog.shipping import ship
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -23,8 +28,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.fit_documents(docs)
     if model is None:
         return docs.where(language.has_letters())
-    found = language.predict(docs, model).where(F.col("lang_pred") != language.UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = language.predict(held(docs, text=F.col("text"), lang=F.col("lang")), model).where(F.col("lang_pred") != language.UNKNOWN)
+    return freed(found, docs.columns, lang=F.coalesce("lang", "lang_pred"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
