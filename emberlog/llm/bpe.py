@@ -5,7 +5,7 @@ case, a letters/number/other split and byte-level symbols with a word end. The s
 words lie in one flat array. Each round finds every word's lowest-rank adjacent pair by binary
 search over sorted pair keys and merges it in all words at once, until no word has a pair left.
 What stands between white space (a chunk) is known by two 64-bit hashes, found for all chunks of about a
-million characters at once, and the ids of the most used chunks are remembered in flat arrays.
+quarter of a million characters at once, and the ids of the most used chunks are remembered in flat arrays.
 
 Texts of any length are encoded whole, in pieces cut at white space. A text null or empty has no ids and
 decodes to "". Repeated rows are encoded each for itself, ids may be of any type or null, other columns of whatever
@@ -44,7 +44,7 @@ def byte_symbols() -> list[str]:
 class Bpe:
     """An encoder and decoder over one vocabulary file. keep: most chunks of text whose ids are remembered."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -211,7 +211,7 @@ class Bpe:
         long = np.flatnonzero(~brief)
         where = np.r_[np.flatnonzero(brief)[first[missed]], long]
         ids, count = self._learn([joined[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)]) if len(where) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        at = len(self.memory.flat) + np.cumsum(count) - count
+        at = self.memory.room_for(ids) + np.cumsum(count) - count
         entry_at, entry_count = np.empty(len(unique), np.int64), np.empty(len(unique), np.int64)
         hit = known >= 0
         entry_at[hit], entry_count[hit] = self.memory.at[known[hit]], self.memory.count[known[hit]]
@@ -219,13 +219,11 @@ class Bpe:
         chunk_at, chunk_count = np.empty(len(start), np.int64), np.empty(len(start), np.int64)
         chunk_at[brief], chunk_count[brief] = entry_at[inverse], entry_count[inverse]
         chunk_at[long], chunk_count[long] = at[len(missed) :], count[len(missed) :]
-        flat = np.concatenate([self.memory.flat, ids])
-        out = gather(flat, chunk_at, chunk_count).astype(np.uint32)
+        out = gather(self.memory.flat, chunk_at, chunk_count).astype(np.uint32)
         ends = np.r_[0, np.cumsum(chunk_count)][np.cumsum(size)]
         uses = np.bincount(inverse, minlength=len(unique))
-        self.memory.used[known[hit]] += uses[hit]
-        n = int(count[: len(missed)].sum())
-        self.memory.add(unique[missed], other[missed], uses[missed], flat[: len(self.memory.flat) + n], at[: len(missed)], count[: len(missed)], self.keep)
+        self.memory.used[known[hit]] += uses[hit].astype(np.int32)
+        self.memory.add(unique[missed], other[missed], at[: len(missed)], count[: len(missed)], uses[missed], self.keep)
         return np.split(out, ends[:-1])
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -233,7 +231,7 @@ class Bpe:
         return b" ".join(map(self.names.__getitem__, ids.tolist()))
 
 
-ROOM = 1 << 20
+ROOM = 1 << 18
 #: Longest chunk that is known by its hashes. Polynomials modulo 2^64 have systematic clashes from about 1,000 characters on.
 BRIEF = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -253,7 +251,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def hashes_of(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each run code[start:end] of code points."""
     if not _VALUES:
-        points = np.arange(0x110000, dtype=np.uint64)
+        points = np.arange(1 << 16, dtype=np.uint64)
         _VALUES.extend(_mix(points + np.uint64(salt)) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
     if not _POWERS or len(_POWERS[0]) < len(code) + 1:
         size = max(ROOM * 2, len(code) + 1)
@@ -265,19 +263,22 @@ def hashes_of(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
     up, down = _POWERS
     out = []
     sums = np.zeros(len(code) + 1, np.uint64)
+    plain = code.max(initial=0) < 1 << 16
     for values in _VALUES:
-        np.cumsum(values[code] * up[: len(code)], out=sums[1:])
+        worth = values[code] if plain else values[code & 0xFFFF] + _mix(values[code >> 16])
+        worth *= up[: len(code)]
+        np.cumsum(worth, out=sums[1:])
         out.append(_mix((sums[end] - sums[start]) * down[start]))
     return out[0], out[1]
 
 
 class Memory:
-    """The ids of chunks known by two hashes: arrays sorted by the first, ids in one flat array."""
+    """The ids of chunks known by two hashes: arrays sorted by the first, ids in one flat array of which `filled` are taken."""
 
     def __init__(self) -> None:
         self.key, self.other = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.at, self.count, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.at, self.count, self.used = (np.zeros(0, np.int32) for _ in range(3))
+        self.flat, self.filled = np.zeros(1 << 16, np.int32), 0
 
     def find(self, key: np.ndarray, other: np.ndarray) -> np.ndarray:
         """The entry of each chunk, or -1."""
@@ -286,21 +287,37 @@ class Memory:
         i = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         return np.where((self.key[i] == key) & (self.other[i] == other), i, -1)
 
-    def add(self, key: np.ndarray, other: np.ndarray, used: np.ndarray, flat: np.ndarray, at: np.ndarray, count: np.ndarray, keep: int) -> None:
+    def room_for(self, ids: np.ndarray) -> int:
+        """Puts ids behind those taken, to stay only as far as add() takes them; returns their place."""
+        if self.filled + len(ids) > len(self.flat):
+            more = np.zeros(max(len(self.flat) * 3 // 2, self.filled + len(ids)), np.int32)
+            more[: self.filled] = self.flat[: self.filled]
+            self.flat = more
+        self.flat[self.filled : self.filled + len(ids)] = ids
+        return self.filled
+
+    def add(self, key: np.ndarray, other: np.ndarray, at: np.ndarray, count: np.ndarray, used: np.ndarray, keep: int) -> None:
+        """Takes chunks, in the order of their keys; beyond `keep` entries the more used half stays."""
         if not len(key):
             return
-        self.flat = flat
-        every = [np.concatenate(x) for x in ((self.key, key), (self.other, other), (self.at, at), (self.count, count), (self.used, used))]
-        if len(every[0]) > keep:
-            # The more used half stays; counts halve, so that what was frequent long ago goes in the end.
-            stay = np.argpartition(every[4], -(keep // 2))[-(keep // 2) :]
-            stay.sort()
-            every = [x[stay] for x in every]
-            self.flat = gather(self.flat, every[2], every[3])
-            every[2] = np.cumsum(every[3]) - every[3]
-            every[4] = every[4] >> 1
-        order = np.argsort(every[0], kind="stable")
-        self.key, self.other, self.at, self.count, self.used = (x[order] for x in every)
+        self.filled = int(at[-1] + count[-1])
+        new = np.searchsorted(self.key, key) + np.arange(len(key))
+        old = np.ones(len(self.key) + len(key), bool)
+        old[new] = False
+        for name, more in (("key", key), ("other", other), ("at", at), ("count", count), ("used", used)):
+            was = getattr(self, name)
+            out = np.empty(len(old), was.dtype)
+            out[new], out[old] = more, was
+            setattr(self, name, out)
+        if len(self.key) > keep:
+            # Uses halve, so that what was frequent long ago goes in the end.
+            stay = np.sort(np.argpartition(self.used, -(keep // 2))[-(keep // 2) :])
+            for name in ("key", "other", "at", "count", "used"):
+                setattr(self, name, getattr(self, name)[stay])
+            self.flat = gather(self.flat, self.at, self.count)
+            self.filled = len(self.flat)
+            self.at = (np.cumsum(self.count) - self.count).astype(np.int32)
+            self.used >>= 1
 
 
 def gather(flat: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
