@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.plans import expr
@@ -63,7 +65,7 @@ def routed(df: DataFrame, events: list[dict], event: str = "event_name", network
         if e.get("networks"):
             on = on & F.col(network).isin(e["networks"])
         if e.get("filter_expression"):
-            on = on & expr.condition(e["filter_expression"], find)
+            on = on & expr.test(e["filter_expression"], find)
         elif e.get("conditions"):
             on = on & expr.legacy(e["conditions"], find, known)
         part = df.where(on).withColumn("alias", F.lit(e.get("alias", e["event_name"])))
@@ -76,13 +78,31 @@ def message_id(*parts: Column) -> Column:
 
 
 def chunks(df: DataFrame, by: list[str], order: list[str], size: str, limit: int = CHUNK_BYTES) -> DataFrame:
-    """df with the number of the message each row goes into: at most about limit bytes of one `by`, in order.
+    """df with `chunk`, the number of the message each row goes into: rows of one `by` in order, a message being
+    closed before the row that would take it beyond limit bytes. A row larger than the limit has one of its own.
 
-    A row's chunk is where the running size before it falls, so chunks are a window sum, and exceed
-    the limit by one row at most.
+    The rows of one `by` are read in order by one task, batch by batch; only the open message's size is held.
     """
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("chunk", F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / limit))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, number, used = None, 0, 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys = list(pdf[by].itertuples(index=False, name=None))
+            out = []
+            for own, n in zip(keys, pdf[size].tolist(), strict=True):
+                if own != key:
+                    key, number, used = own, 0, 0
+                elif used and used + n > limit:
+                    number, used = number + 1, 0
+                used += n
+                out.append(number)
+            pdf["chunk"] = out
+            yield pdf
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, f"{kinds}, chunk long")
 
 
 def narrow_enough(first: int, last: int, most: int = 10) -> bool:

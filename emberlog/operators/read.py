@@ -8,12 +8,12 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_PAGE = 1000
 
-# Filter operators by name.
+# Filter operators by name.
 TESTS = {
     "isNull": lambda c, v: c.isNull() if v else c.isNotNull(),
     "equalTo": lambda c, v: c == v,
@@ -70,12 +70,16 @@ def cursor(row: dict, order: tuple[tuple[str, bool], ...]) -> str:
 
 
 def _beyond(values: list, order: tuple[tuple[str, bool], ...], forward: bool) -> Column:
-    """Rows strictly after (or before) a place in the order, by its sort values."""
+    """Rows strictly after (or before) a place in the order, by its sort values. Null is below every value, as in the sort."""
     out, same = F.lit(False), F.lit(True)
     for (name, up), v in zip(order, values, strict=True):
         c = F.col(name)
-        out = out | (same & (c > v if up == forward else c < v))
-        same = same & (c == v)
+        if up == forward:
+            past = c.isNotNull() if v is None else c > v
+        else:
+            past = F.lit(False) if v is None else (c < v) | c.isNull()
+        out = out | (same & past)
+        same = same & c.eqNullSafe(F.lit(v))
     return out
 
 
@@ -100,22 +104,29 @@ def run(df: DataFrame, q: Query, key: list[str], max_page: int = MAX_PAGE, index
 
 
 def page(df: DataFrame, q: Query, key: list[str], max_page: int = MAX_PAGE) -> dict:
-    """A page with its cursors: rows, has_next, start and end. Looks one row ahead."""
+    """A page with its cursors: rows, has_next, has_previous, start and end. Looks one row ahead and one back."""
     order = (*q.order_by, *((k, True) for k in key if k not in dict(q.order_by)))
     size = min(q.first if q.first is not None else max_page, max_page)
     ahead = Query(q.condition, q.filter, q.order_by, size + 1, None, q.offset, q.after, q.before)
     rows = [r.asDict(True) for r in run(df, ahead, key, max_page + 1).collect()]  # one page
     own = rows[:size]
-    return {"rows": own, "has_next": len(rows) > size, "start": cursor(own[0], order) if own else None, "end": cursor(own[-1], order) if own else None}
+    start, end = (cursor(own[0], order), cursor(own[-1], order)) if own else (None, None)
+    back = bool(own) and run(df, Query(q.condition, q.filter, q.order_by, 1, before=start), key).count() > 0
+    return {"rows": own, "has_next": len(rows) > size, "has_previous": back, "start": start, "end": end}
 
 
 def by_key(df: DataFrame, key: dict[str, Any]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, (F.col(k) == v for k, v in key.items())))
 
 
-def related(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str, columns: list[str], name: str) -> DataFrame:
-    """parent with its children as an array of structs, sorted; empty where there are none."""
-    nested = child.groupBy(F.col(child_key).alias(parent_key)).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+def related(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str, columns: list[str], name: str, first: int = MAX_PAGE) -> DataFrame:
+    """parent with the first page of its children as an array of structs, sorted by columns; empty where there are none.
+
+    Children are ranked before they are collected, and each task passes on one page of each parent at most.
+    """
+    w = Window.partitionBy(child_key).orderBy(*columns)
+    ranked = child.select(child_key, *(c for c in columns if c != child_key)).withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= first)
+    nested = ranked.groupBy(F.col(child_key).alias(parent_key)).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
     return parent.join(nested, parent_key, "left").withColumn(name, F.coalesce(name, F.array().cast(nested.schema[name].dataType)))
 
 

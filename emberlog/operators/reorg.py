@@ -11,15 +11,18 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.operators.fold import fold, operation_rows
+from emberlog.operators.fold import by_key, fold, fold_rows, operation_rows
 from emberlog.plans.manifest import Table
 
+#: Blocks of one bucket.
+SPAN = 100_000
+
 
 def parent_mismatches(blocks: DataFrame, number: str = "block_number", own: str = "block_hash", parent: str = "parent_hash", by: list[str] | None = None) -> DataFrame:
     """Blocks whose parent hash is not the hash of the stored block before them."""
-    w = Window.partitionBy(*(by or [])).orderBy(number) if by else Window.orderBy(number)
-    before = blocks.withColumns({"_n": F.lag(number).over(w), "_h": F.lag(own).over(w)})
-    return before.where((F.col("_n") == F.col(number) - 1) & (F.col("_h") != F.col(parent))).drop("_n", "_h")
+    by = by or []
+    before = blocks.select(*by, (F.col(number) + 1).alias(number), F.col(own).alias("_h"))
+    return blocks.join(before, [*by, number]).where(F.col("_h") != F.col(parent)).select(*blocks.columns)
 
 
 def fork_points(stored: DataFrame, canonical: DataFrame, by: list[str], number: str = "block_number", own: str = "block_hash") -> DataFrame:
@@ -55,8 +58,10 @@ def retract(state: DataFrame, events: Mapping[str, DataFrame], table: Table, blo
         return fold(kept, table, constants=constants)
     gone = {n: e.where(F.col(block) >= fork if until is None else F.col(block).between(fork, until)) for n, e in events.items()}
     touched = operation_rows(gone, table, constants).select(*table.keys).distinct()
-    again = fold(kept, table, constants=constants).join(touched, table.keys, "left_semi")
-    return state.join(touched, table.keys, "left_anti").unionByName(again)
+    # Only the touched keys' rows are folded again; the others of the history are read and dropped before any shuffle
+    # but that of the semi join, which broadcasts the touched keys where they are few.
+    again = fold_rows(by_key(operation_rows(kept, table, constants), touched, table.keys, "left_semi"), table)
+    return by_key(state, touched, table.keys, "left_anti").unionByName(again)
 
 
 def rewound_checkpoint(last_synced: int, fork: int) -> int:
@@ -75,7 +80,13 @@ def prune_window(blocks: DataFrame, by: list[str], keep: int, number: str = "blo
 
 
 def gaps(blocks: DataFrame, by: list[str], number: str = "block_number") -> DataFrame:
-    """(by, first, last) of missing block numbers inside each chain's window."""
-    w = Window.partitionBy(*by).orderBy(number)
-    step = blocks.select(*by, number, F.lead(number).over(w).alias("_next"))
-    return step.where(F.col("_next") > F.col(number) + 1).select(*by, (F.col(number) + 1).alias("first"), (F.col("_next") - 1).alias("last"))
+    """(by, first, last) of missing block numbers inside each chain's window.
+
+    Blocks are ordered within buckets of SPAN numbers; only each bucket's first and last block meet those of others.
+    """
+    own = blocks.select(*by, F.col(number).alias("_n"), F.floor(F.col(number) / SPAN).alias("_b"))
+    inside = own.select(*by, "_n", F.lead("_n").over(Window.partitionBy(*by, "_b").orderBy("_n")).alias("_next"))
+    ends = own.groupBy(*by, "_b").agg(F.min("_n").alias("_low"), F.max("_n").alias("_high"))
+    across = ends.select(*by, F.col("_high").alias("_n"), F.lead("_low").over(Window.partitionBy(*by).orderBy("_b")).alias("_next"))
+    missing = inside.unionAll(across).where(F.col("_next") > F.col("_n") + 1)
+    return missing.select(*by, (F.col("_n") + 1).alias("first"), (F.col("_next") - 1).alias("last"))

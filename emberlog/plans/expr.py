@@ -2,7 +2,8 @@
 
 Filters: || && ! over comparisons of arithmetic terms; + - * / ^ on whole numbers (checked: overflow,
 negative results and division by zero are errors); fields as name, $name or @name (@: the row of the
-table being written) with .key and [i]; numbers, 0x numbers, true/false and quoted text. An error
+table being written) with .key and [i]; numbers, 0x numbers, true/false and quoted text. Numbers are of up to 256
+bits: expressions that cannot pass 38 digits are decimals, others text of functions.u256. An error
 makes the filter false. Errors are nulls inside: AND and OR look at the left side first and at the right one
 only if they must, as a sequential evaluation would, which SQL's three-valued logic would not do.
 """
@@ -19,6 +20,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberlog.functions import u256
+
 WIDE = "decimal(38,0)"
 LIMIT = 10**38
 
@@ -48,6 +51,7 @@ _TOKEN = re.compile(
     r"\s*(?:(?P<text>\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*')|(?P<hex>0[xX][0-9a-fA-F]+)|(?P<num>\d+(?:\.\d+)?)"
     r"|(?P<field>[$@]?[A-Za-z_]\w*(?:\.\w+|\[\d+\])*)|(?P<op>\|\||&&|==|!=|>=|<=|[-+*/^<>!()]))"
 )
+_NUMERAL = re.compile(r"-?(?:\d{1,78}|0[xX][0-9a-fA-F]{1,64})")
 _COMPARE = ("==", "!=", ">=", "<=", ">", "<")
 
 
@@ -210,13 +214,33 @@ def _kind(t: T.DataType) -> str:
     return "array" if isinstance(t, T.ArrayType) else "text"
 
 
+def _width(tree, find: Resolve) -> int:
+    """A bound of the decimal digits of an arithmetic tree's whole numbers; of text 78."""
+    if isinstance(tree, Lit):
+        return len(str(abs(tree.value))) if isinstance(tree.value, int) else 78 if isinstance(tree.value, str) else 0
+    if isinstance(tree, Field):
+        t = find(tree)[1]
+        by_type = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+        return t.precision if isinstance(t, T.DecimalType) else by_type.get(type(t), 0 if _kind(t) == "fixed" else 78)
+    a, b = (_width(x, find) for x in tree.args)
+    if tree.name == "^":
+        n = tree.args[1].value if isinstance(tree.args[1], Lit) else None
+        return a * n if isinstance(n, int) and a else 78
+    return a + b if tree.name == "*" else max(a, b) + 1 if tree.name == "+" else a
+
+
+def wide(c: Column, kind: str) -> Column:
+    """A value as signed digits of functions.u256; null if it is no whole number."""
+    return c if kind == "wide" else u256.from_whole(c) if kind == "int" else u256.parsed(c) if kind == "text" else F.lit(None).cast("string")
+
+
 def _column(tree, find: Resolve) -> tuple[Column, str]:
     if isinstance(tree, Lit):
         v = tree.value
         if isinstance(v, bool):
             return F.lit(v), "bool"
         if isinstance(v, int):
-            return F.lit(str(v)).cast(WIDE) if abs(v) < LIMIT else F.lit(None).cast(WIDE), "int"
+            return (F.lit(str(v)).cast(WIDE), "int") if abs(v) < LIMIT else (u256.literal(v), "wide")
         if isinstance(v, Decimal):
             return F.lit(float(v)), "fixed"
         return F.lit(v), "text"
@@ -224,82 +248,115 @@ def _column(tree, find: Resolve) -> tuple[Column, str]:
         c, t = find(tree)
         kind = _kind(t)
         return (c.cast(WIDE) if kind == "int" else c.cast("double") if kind == "fixed" else c), kind
-    (a, ka), (b, kb) = (_number(*_column(x, find)) for x in tree.args)
+    (a, ka), (b, kb) = (_column(x, find) for x in tree.args)
+    if "bool" in (ka, kb) or "array" in (ka, kb):
+        raise ExprError("no arithmetic with booleans and arrays")
     if "fixed" in (ka, kb):
-        a, b = a.cast("double"), b.cast("double")
+        a, b = (_double(x, k) for x, k in ((a, ka), (b, kb)))
         if tree.name == "/":
             return F.try_divide(a, b), "fixed"
         return {"+": a + b, "-": a - b, "*": a * b, "^": F.pow(a, b)}[tree.name], "fixed"
+    if tree.name == "^" and all(isinstance(x, Lit) for x in tree.args):
+        if not all(isinstance(x.value, int) for x in tree.args) or not 0 <= tree.args[1].value <= 256:
+            raise ExprError("a power needs whole numbers")
+        return _column(Lit(tree.args[0].value ** tree.args[1].value), find)
+    if {ka, kb} != {"int"} or _width(tree, find) > 38:
+        return _wide_arithmetic(tree.name, wide(a, ka), wide(b, kb)), "wide"
     if tree.name == "+":
         return F.try_add(a, b).cast(WIDE), "int"
     if tree.name == "-":
         return F.when(a >= b, F.try_subtract(a, b).cast(WIDE)), "int"
     if tree.name == "*":
-        fits = (a == 0) | (b == 0) | (F.length(F.abs(a).cast("string")) + F.length(F.abs(b).cast("string")) <= 38)
-        return F.when(fits, F.try_multiply(a, b).cast(WIDE)), "int"
+        return F.try_multiply(a, b).cast(WIDE), "int"
     if tree.name == "/":
         return F.when(b != 0, _whole_quotient(a, b)), "int"
-    if not isinstance(tree.args[1], Lit) or not isinstance(tree.args[1].value, int) or tree.args[1].value > 126:
-        raise ExprError("a power needs a whole number as exponent")
-    if isinstance(tree.args[0], Lit):
-        return _column(Lit(tree.args[0].value ** tree.args[1].value), find)
     out = F.lit(1).cast(WIDE)
     for _ in range(tree.args[1].value):
-        fits = F.length(F.abs(out).cast("string")) + F.length(F.abs(a).cast("string")) <= 38
-        out = F.when(fits, F.try_multiply(out, a).cast(WIDE))
+        out = F.try_multiply(out, a).cast(WIDE)
     return out, "int"
 
 
+def _wide_arithmetic(name: str, a: Column, b: Column) -> Column:
+    """Checked: what is negative or beyond 256 bits is null, and so are products, quotients and powers of negative numbers."""
+    if name in "+-":
+        return u256.plus(a, b) if name == "+" else u256.minus(a, b)
+    return {"*": u256.multiply, "/": u256.divide, "^": u256.power}[name](a, b)
+
+
+def _double(c: Column, kind: str) -> Column:
+    return c.cast("double") if kind in ("int", "fixed") else u256.to_decimal(wide(c, kind)).cast("double") if kind == "wide" else F.coalesce(c.try_cast("double"), u256.to_decimal(wide(c, kind)).try_cast("double"))
+
+
 def _whole_quotient(a: Column, b: Column) -> Column:
     """The quotient rounded down, exact: what DecimalType keeps of it is less the remainder's share."""
     return F.try_divide(a - F.try_mod(a, b), b).cast(WIDE)
 
 
-def _number(c: Column, kind: str) -> tuple[Column, str]:
-    if kind in ("int", "fixed"):
-        return c, kind
-    if kind == "bool":
-        raise ExprError("no arithmetic with booleans")
-    return _parsed(c), "int"
-
-
-def _parsed(c: Column) -> Column:
-    """A whole number from decimal or short hex text, else null."""
-    hexa = F.when(c.rlike("^0[xX][0-9a-fA-F]{1,15}$"), F.conv(F.substring(c, 3, 15), 16, 10))
-    return F.coalesce(hexa, F.when(c.rlike(r"^-?\d{1,38}$"), c)).try_cast(WIDE)
+def _plain(tree: Op, find: Resolve) -> tuple[Column, Column] | None:
+    """Both sides of a comparison between whole-number columns, or one and a literal, without casts; else None."""
+    sides = []
+    for x in tree.args:
+        if isinstance(x, Field):
+            c, t = find(x)
+            if not isinstance(t, T.IntegralType):
+                return None
+            sides.append(c)
+        elif isinstance(x, Lit) and isinstance(x.value, int) and not isinstance(x.value, bool) and abs(x.value) < 1 << 63:
+            sides.append(F.lit(x.value))
+        else:
+            return None
+    return tuple(sides)
 
 
 def _compare(tree: Op, find: Resolve) -> Column:
     (a, ka), (b, kb) = (_column(x, find) for x in tree.args)
     kinds = {ka, kb}
     null = F.lit(None).cast("boolean")
-    if kinds <= {"int", "fixed"}:
-        if "fixed" in kinds:
-            a, b = a.cast("double"), b.cast("double")
-    elif "text" in kinds and kinds & {"int", "fixed"}:
-        number = "double" if "fixed" in kinds else WIDE
-        a, b = ((F.coalesce(_parsed(x).cast(number), x.try_cast(number)) if k == "text" else x) for x, k in ((a, ka), (b, kb)))
-    elif len(kinds) > 1 or tree.name not in ("==", "!="):
-        return null
-    elif kinds == {"text"}:
-        a, b = F.lower(a), F.lower(b)
-    return {"==": a == b, "!=": a != b, ">": a > b, "<": a < b, ">=": a >= b, "<=": a <= b}[tree.name]
-
-
-def _condition(tree, find: Resolve) -> Column:
-    null = F.lit(None).cast("boolean")
+    test = lambda x, y: {"==": x == y, "!=": x != y, ">": x > y, "<": x < y, ">=": x >= y, "<=": x <= y}[tree.name]
+    if plain := _plain(tree, find):
+        return test(*plain)
+    if kinds == {"int"}:
+        return test(a, b)
+    if "fixed" in kinds and kinds <= {"int", "fixed", "wide", "text"}:
+        return test(_double(a, ka), _double(b, kb))
+    if kinds & {"int", "wide"} and kinds <= {"int", "wide", "text"}:
+        return test(u256.sortable(wide(a, ka)), u256.sortable(wide(b, kb)))
+    if kinds == {"text"}:
+        return _texts(tree, a, b, test)
+    return test(a, b) if len(kinds) == 1 and tree.name in ("==", "!=") else null
+
+
+def _texts(tree: Op, a: Column, b: Column, test: Callable) -> Column:
+    """Texts that both are numbers (decimal or 0x) compare as such, others only for equality, without case and 0x."""
+    same = tree.name in ("==", "!=")
+    alike = test(*(F.regexp_replace(F.lower(x), "^0x", "") for x in (a, b))) if same else F.lit(None).cast("boolean")
+    if any(isinstance(x, Lit) and not _NUMERAL.fullmatch(x.value) for x in tree.args):
+        return alike
+    x, y = (u256.sortable(u256.parsed(c)) for c in (a, b))
+    return F.when(x.isNotNull() & y.isNotNull(), test(x, y)).otherwise(alike)
+
+
+def _condition(tree, find: Resolve, root: bool = False) -> Column:
+    """At the root only being true counts, so an AND needs no regard to the order of errors and reaches file scans."""
     if tree.name == "!":
         return ~_condition(tree.args[0], find)
-    if tree.name in ("&&", "||"):
-        a, b = (_condition(x, find) for x in tree.args)
-        stop = ~a if tree.name == "&&" else a
-        return F.when(a.isNull(), null).when(stop, F.lit(tree.name == "||")).otherwise(b)
+    if tree.name == "&&":
+        a, b = (_condition(x, find, root) for x in tree.args)
+        return a & b if root else a & (~a | b)
+    if tree.name == "||":
+        a = _condition(tree.args[0], find)
+        return a | (~a & _condition(tree.args[1], find, root))
     return _compare(tree, find)
 
 
 def condition(text: str, find: Resolve) -> Column:
     """A filter as a Column that is true or false, never null."""
-    return F.coalesce(_condition(parse(text), find), F.lit(False))
+    return F.coalesce(_condition(parse(text), find, True), F.lit(False))
+
+
+def test(text: str, find: Resolve) -> Column:
+    """A filter for where(): true where it holds, else false or null. Plain comparisons, which scans can take."""
+    return _condition(parse(text), find, True)
 
 
 def formula(text: str, find: Resolve) -> Column:
@@ -308,14 +365,14 @@ def formula(text: str, find: Resolve) -> Column:
 
 
 def legacy(conditions: list[Mapping[str, str]], find: Resolve, known: set[str]) -> Column:
-    """A list of {path: "condition"}: all must hold; a path that is not known fails; no operator: equality."""
+    """A list of {path: "condition"}, for where(): all must hold; a path that is not known fails; no operator: equality."""
     out = F.lit(True)
     for entry in conditions:
-        for path, test in entry.items():
+        for path, wanted in entry.items():
             if path.split(".")[0].split("[")[0] not in known:
                 return F.lit(False)
-            joined = re.sub(r"(==|!=|>=|<=|>|<)", rf" {path} \1", test) if re.search(r"[<>=!]", test) else f"{path} == '{test}'"
-            out = out & condition(joined, find)
+            joined = re.sub(r"(==|!=|>=|<=|>|<)", rf" {path} \1", wanted) if re.search(r"[<>=!]", wanted) else f"{path} == '{wanted}'"
+            out = out & test(joined, find)
     return out
 
 
@@ -368,8 +425,11 @@ def evaluate(tree, event: Mapping, table: Mapping | None = None):
         if isinstance(a, str) != isinstance(b, str) and not isinstance(a, bool) and not isinstance(b, bool):
             a, b = _as_number(a), _as_number(b)
         elif isinstance(a, str):
-            a, b = a.lower(), b.lower()
-            if tree.name not in ("==", "!="):
+            if _NUMERAL.fullmatch(a) and _NUMERAL.fullmatch(b):
+                a, b = _as_number(a), _as_number(b)
+            elif tree.name in ("==", "!="):
+                a, b = (re.sub("^0x", "", x.lower()) for x in (a, b))
+            else:
                 raise _Failed
         elif isinstance(a, bool) != isinstance(b, bool):
             raise _Failed

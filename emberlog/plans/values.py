@@ -8,11 +8,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from emberlog.functions import u256
 from emberlog.plans import expr
 
 _REF = re.compile(r"\$([A-Za-z_]\w*(?:\.\w+|\[\d+\])*)")
 _CALL = re.compile(r"^\$(if|constant)\((.*)\)$", re.S)
-# Spark types of the declared column types; whole numbers wider than 38 digits are hex digits (functions.u256).
+# Spark types of the declared column types; for whole numbers that pass 38 digits see is_wide().
 TYPES = {"string": "string", "address": "string", "bytes": "string", "bytes32": "string", "bool": "boolean", "timestamp": "timestamp"}
 
 
@@ -27,10 +28,18 @@ def spark_type(declared: str) -> str:
         if re.fullmatch(r"bytes\d+", declared):
             return "string"
         raise expr.ExprError(f"no column type {declared!r}")
+    if is_wide(declared):
+        return "string"
     bits = int(m[2]) - (0 if m[1] else 1)
     return "smallint" if bits <= 15 else "int" if bits <= 31 else "bigint" if bits <= 63 else "decimal(20,0)" if bits <= 64 else "decimal(38,0)"
 
 
+def is_wide(declared: str) -> bool:
+    """Whether a declared whole-number type can pass 38 digits; its columns are text of functions.u256."""
+    m = re.fullmatch(r"(u?)int(\d+)", declared)
+    return bool(m) and int(m[2]) > (126 if m[1] else 128)
+
+
 def split_args(text: str) -> list[str]:
     """Arguments at commas outside brackets and quotes."""
     out, depth, quote, at = [], 0, "", 0
@@ -56,6 +65,16 @@ def _bare(text: str) -> str:
 def coerce(c: Column, kind: str, declared: str) -> Column:
     """A value of expr's kind as a column of a declared type; what does not fit is null."""
     target = spark_type(declared)
+    if is_wide(declared):
+        if kind == "bool":
+            c, kind = c.cast("int"), "int"
+        return u256.stored(expr.wide(c, kind))
+    if kind == "wide":
+        if declared == "address":
+            return F.concat(F.lit("0x"), F.right(F.when(~c.startswith("-"), c), F.lit(40)))
+        c, kind = u256.to_decimal(c), "text"
+    elif kind == "text" and re.fullmatch(r"u?int\d+", declared):
+        return F.coalesce(c.try_cast(target), u256.to_decimal(u256.parsed(c)).try_cast(target))
     if declared == "bool":
         return c != 0 if kind == "int" else c.try_cast("boolean")
     if declared == "timestamp" and kind == "int":
@@ -69,6 +88,9 @@ def coerce(c: Column, kind: str, declared: str) -> Column:
 
 def literal(text: str, declared: str) -> Column:
     text = _bare(text)
+    if is_wide(declared):
+        whole = int(text, 16) if re.fullmatch(r"0[xX][0-9a-fA-F]+", text) else int(text) if re.fullmatch(r"-?\d+", text) else u256.TOP
+        return u256.stored(u256.literal(whole))
     if declared == "bool":
         return F.lit(text in ("true", "1"))
     if declared == "timestamp":

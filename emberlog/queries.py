@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.functions import u256
 from emberlog.operators import blocktime, cron, fold, iterate, lookup, messages, read, reorg, scan
 from emberlog.plans import expr, manifest, values
 from emberlog.shipping import ship
@@ -45,7 +46,7 @@ def log(spark: SparkSession, d: str) -> DataFrame:
 
 def where(spark: SparkSession, d: str, text: str) -> DataFrame:
     df = log(spark, d)
-    return df.where(expr.condition(text, expr.resolver(df.schema))).select("event_id", "user_id", "event_type", "cents")
+    return df.where(expr.test(text, expr.resolver(df.schema))).select("event_id", "user_id", "event_type", "cents")
 
 
 COLUMNS = "event_id, user_id, event_type, cents"
@@ -103,8 +104,7 @@ def legacy_conditions(spark, d):
 @query("factory_semijoin", f"SELECT {COLUMNS} FROM {LOG} WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup')")
 def factory_semijoin(spark, d):
     df = log(spark, d)
-    known = df.where("event_type = 'signup'").select("user_id").distinct()
-    return df.join(known, "user_id", "left_semi").select("event_id", "user_id", "event_type", "cents")
+    return scan.addresses(df, "user_id", df.where("event_type = 'signup'").select("user_id")).select("event_id", "user_id", "event_type", "cents")
 
 
 @query("factory_birth", f"WITH b AS (SELECT user_id, min(event_id) AS birth FROM events WHERE event_type = 'signup' GROUP BY user_id) SELECT {COLUMNS}, birth FROM {LOG} JOIN b USING (user_id) WHERE event_id >= birth")
@@ -242,6 +242,67 @@ def registry_delete(spark, d):
     return longs(folded(spark, d, [USER, col("last", "int64"), col("n")], ops).select("user_id", "last", "n"), "n")
 
 
+@query("update_with_state", f"""
+    WITH s AS (SELECT user_id, sum(cents)::BIGINT AS total, arg_max(event_type, evt_seq) AS last_type, max(evt_seq) AS evt_seq FROM {LOG} WHERE event_id % 2 = 0 GROUP BY user_id),
+    u AS (SELECT user_id, sum(cents)::BIGINT AS more, arg_max(event_type, evt_seq) AS type, max(evt_seq) AS seq FROM {LOG} WHERE event_id % 2 = 1 AND event_id % 5 < 2 GROUP BY user_id)
+    SELECT s.user_id, CASE WHEN seq > evt_seq THEN total - more ELSE total END AS total, CASE WHEN seq > evt_seq THEN type ELSE last_type END AS last_type,
+        greatest(evt_seq, coalesce(seq, 0)) AS evt_seq FROM s LEFT JOIN u USING (user_id)""")
+def update_with_state(spark, d):
+    """A batch of updates counts for a key only if it is newer than the stored row."""
+    columns = [USER, col("total"), col("last_type", "string")]
+    df = log(spark, d)
+    state = folded(spark, d, columns, [op("upsert", {"total": ("add", "$cents"), "last_type": ("set", "$event_type")})], events={"log": df.where("event_id % 2 = 0")})
+    ops = [op("update", {"total": ("subtract", "$cents"), "last_type": ("set", "$event_type")})]
+    out = folded(spark, d, columns, ops, state=state, events={"log": df.where("event_id % 2 = 1 AND event_id % 5 < 2")})
+    return longs(out.drop("network"), "total")
+
+
+@query("null_keys", f"SELECT CASE WHEN user_id % 3 <> 0 THEN user_id END AS k, sum(cents)::BIGINT AS total, count(*) AS n FROM {LOG} GROUP BY 1")
+def null_keys(spark, d):
+    """A null key is a key like others, in every batch."""
+    df = log(spark, d).withColumn("k", F.when(F.col("user_id") % 3 != 0, F.col("user_id")))
+    columns, ops = [col("k", "int64"), col("total"), col("n")], [op("upsert", {"total": ("add", "$cents"), "n": ("increment", "1")}, where={"k": "$k"})]
+    state = None
+    for part in range(3):
+        state = folded(spark, d, columns, ops, state=state, events={"log": df.where(f"event_id % 3 = {part}")})
+    return longs(state.drop("network", "evt_seq"), "total", "n")
+
+
+# Amounts above 2^128 as decimal text: cents and 38 zeros, plus the event's number.
+ZEROS = "0" * 38
+
+
+def wide_log(spark, d) -> DataFrame:
+    number = F.lpad(F.col("event_id").cast("string"), 38, "0")
+    return log(spark, d).withColumn("amount", F.concat(F.col("cents").cast("string"), number))
+
+
+@query("u256_filter", f"SELECT event_id, cents FROM {LOG} WHERE cents > 1500 OR (cents = 1500 AND event_id > 0)")
+def u256_filter(spark, d):
+    df = wide_log(spark, d)
+    return df.where(expr.test(f"amount > 1500{ZEROS}", expr.resolver(df.schema))).select("event_id", "cents")
+
+
+@query("u256_value", f"SELECT event_id, CAST(cents * 3 + 1 AS VARCHAR) || '{ZEROS}' AS v FROM {LOG}")
+def u256_value(spark, d):
+    df = log(spark, d).withColumn("amount", F.concat(F.col("cents").cast("string"), F.lit(ZEROS)))
+    v = values.compile_value(f"$amount * 3 + 1{ZEROS}", "uint256", expr.resolver(df.schema))
+    return df.select("event_id", u256.to_decimal(v).alias("v"))
+
+
+@query("u256_sum", f"""
+    SELECT user_id, CAST(sum(cents) AS VARCHAR) || lpad(CAST(sum(event_id) AS VARCHAR), 38, '0') AS total, CAST(max(cents) AS VARCHAR) || '{ZEROS}' AS high,
+        CAST(arg_max(cents, evt_seq) AS VARCHAR) || lpad(CAST(max(event_id) AS VARCHAR), 38, '0') AS last FROM {LOG} GROUP BY user_id""")
+def u256_sum(spark, d):
+    """Two batches of sums, extremes and latest values beyond 38 digits."""
+    df = wide_log(spark, d).withColumn("round", F.concat(F.col("cents").cast("string"), F.lit(ZEROS)))
+    columns = [USER, col("total", "uint256", default=0), col("high", "uint256"), col("last", "uint256")]
+    ops = [op("upsert", {"total": ("add", "$amount"), "high": ("max", "$round"), "last": ("set", "$amount")})]
+    state = folded(spark, d, columns, ops, events={"log": df.where("event_id % 2 = 0")})
+    out = folded(spark, d, columns, ops, state=state, events={"log": df.where("event_id % 2 = 1")})
+    return out.select("user_id", *(u256.to_decimal(F.col(c)).alias(c) for c in ("total", "high", "last")))
+
+
 # --- iterate, values ----------------------------------------------------------------------------
 
 
@@ -461,6 +522,16 @@ def keyset_after(spark, d):
     return read.run(customers(spark, d), read.Query(order_by=order, first=40, after=place), ["c_custkey"])
 
 
+@query("keyset_nulls", """
+    SELECT c_custkey, CASE WHEN c_nationkey % 3 <> 0 THEN c_nationkey END AS x FROM customer
+    WHERE coalesce(CASE WHEN c_nationkey % 3 <> 0 THEN c_nationkey END, -1) < 2 OR (c_nationkey = 2 AND c_custkey > 20) ORDER BY x DESC NULLS LAST, c_custkey LIMIT 1000""")
+def keyset_nulls(spark, d):
+    """Rows with a null sort value come after all others of a descending order, and are not lost between pages."""
+    df = customers(spark, d).select("c_custkey", F.when(F.col("c_nationkey") % 3 != 0, F.col("c_nationkey")).alias("x"))
+    place = read.cursor({"x": 2, "c_custkey": 20}, (("x", False), ("c_custkey", True)))
+    return read.run(df, read.Query(order_by=(("x", False),), after=place), ["c_custkey"])
+
+
 @query("cond_filter_in", f"{CUSTOMER} WHERE c_mktsegment = 'BUILDING' AND c_nationkey IN (1, 2, 3) AND c_custkey >= 10 AND c_custkey NOT IN (12, 13) ORDER BY c_custkey LIMIT 1000")
 def cond_filter_in(spark, d):
     q = read.Query({"c_mktsegment": "BUILDING"}, {"c_nationkey": {"in": [1, 2, 3]}, "c_custkey": {"greaterThanOrEqualTo": 10, "notIn": [12, 13]}})
@@ -529,7 +600,12 @@ def routed_messages(spark, d):
     return messages.routed(df, [{"event_name": "view", "alias": "seen", "filter_expression": "cents > 1000"}, {"event_name": "click", "conditions": [{"cents": "<500"}]}], "event_type").select("event_id", "alias")
 
 
-@query("message_chunks", f"SELECT event_id, CAST(floor(coalesce(sum(length(event_type)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 20.0) AS BIGINT) AS chunk FROM {LOG}")
+@query("message_chunks", """
+    WITH RECURSIVE r AS (SELECT user_id, event_id, length(event_type) AS size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    c AS (SELECT user_id, event_id, n, 0::BIGINT AS chunk, size AS used FROM r WHERE n = 1
+        UNION ALL SELECT r.user_id, r.event_id, r.n, CASE WHEN used + size > 20 THEN chunk + 1 ELSE chunk END, CASE WHEN used + size > 20 THEN size ELSE used + size END
+        FROM c JOIN r ON r.user_id = c.user_id AND r.n = c.n + 1)
+    SELECT event_id, chunk FROM c""")
 def message_chunks(spark, d):
     df = load(spark, d, "events").withColumn("size", F.length("event_type"))
     return messages.chunks(df, ["user_id"], ["event_id"], "size", 20).select("event_id", "chunk")

@@ -153,6 +153,8 @@ def test_fork_points_and_gaps(spark):
     assert [tuple(r) for r in reorg.fork_points(own, other, ["network"]).collect()] == [("a", 16)]
     none = own.withColumn("block_hash", F.lit("y"))
     assert sorted(map(tuple, reorg.fork_points(own, none, ["network"]).collect())) == [("a", 10), ("b", 0)]
+    holes = spark.createDataFrame([("a", n) for n in (1, 2, 5, 99_999, 100_000, 350_000)], "network string, block_number long")
+    assert sorted(map(tuple, reorg.gaps(holes, ["network"]).collect())) == [("a", 3, 4), ("a", 6, 99_998), ("a", 100_001, 349_999)]
     assert [tuple(r) for r in reorg.gaps(own.where("block_number not in (12, 13)"), ["network"]).collect()] == [("a", 12, 13)]
     assert reorg.prune_window(own, ["network"], 3).count() == 6
     assert reorg.rewound_checkpoint(18, 16) == 15
@@ -222,6 +224,55 @@ def test_pages_and_cursors(spark):
         read.run(df, read.Query(filter={"g": {"equalTo": 1}}), ["id"], indexed={"id"})
 
 
+def test_null_sort_values_stay_on_pages(spark):
+    df = spark.createDataFrame([(1, 5), (2, None), (3, 3), (4, None)], "id long, x long")
+    for up in (True, False):
+        seen, after = [], None
+        while True:
+            p = read.page(df, read.Query(order_by=(("x", up),), first=1, after=after), ["id"])
+            assert p["has_previous"] == bool(seen)
+            seen += [r["id"] for r in p["rows"]]
+            if not p["has_next"]:
+                break
+            after = p["end"]
+        assert seen == ([2, 4, 3, 1] if up else [1, 3, 2, 4])
+
+
+def test_stale_updates_leave_newer_rows(spark):
+    t = table([UP, UPDATE], COLUMNS)
+    rows = lambda *r: spark.createDataFrame(list(r), SCHEMA)
+    state = fold.fold({"log": rows((50, "a", 1, 100, "up"))}, t)
+    assert result(fold.fold({"log": rows((10, "a", 1, 7, "upd"))}, t, state)) == {("a", 1): (100, 100, 100, 50)}
+    assert result(fold.fold({"log": rows((60, "a", 1, 7, "upd"))}, t, state)) == {("a", 1): (93, 7, 100, 60)}
+
+
+def test_filters_reach_the_scan_and_folds_hash(spark, log, tmp_path):
+    from emberlog.plans import expr
+
+    log.write.parquet(str(tmp_path / "log"))
+    df = spark.read.parquet(str(tmp_path / "log"))
+    for text in ("x > 5 && k <= 3", "x > 5 || k == 2"):
+        plan = df.where(expr.test(text, expr.resolver(df.schema)))._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: []" not in plan and "GreaterThan(x,5)" in plan
+    numeric = {"type": "upsert", "where": {"k": "$k"}, "set": sets(total=("add", "$x"), last=("set", "$x"), high=("max", "$x"))}
+    for ops in ([numeric], [UP, DELETE]):
+        plan = fold.fold({"log": df}, table(ops, COLUMNS))._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_chunks_stay_below_the_limit(spark):
+    rows = [("a", k, n) for k, n in enumerate([30, 30, 30, 120, 10, 90, 1, 100, 100])] + [("b", k, 60) for k in range(3)]
+    df = spark.createDataFrame(rows, "key string, at long, size long")
+    got = messages.chunks(df, ["key"], ["at"], "size", 100).orderBy("key", "at").collect()
+    assert [r["chunk"] for r in got] == [0, 0, 0, 1, 2, 2, 3, 4, 5, 0, 1, 2]
+
+
+def test_related_pages_are_bounded(spark):
+    parent, child = spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([(1, k) for k in range(9)], "id long, c long")
+    got = {r["id"]: [x["c"] for x in r["kids"]] for r in read.related(parent, child, "id", "id", ["c"], "kids", 4).collect()}
+    assert got == {1: [0, 1, 2, 3], 2: []}
+
+
 def test_messages(spark):
     df = spark.createDataFrame([(1050000, [1, 2], ("a", 3))], "v long, a array<int>, s struct<x: string, y: int>")
     one = lambda c: df.select(c.alias("x")).first()["x"]
