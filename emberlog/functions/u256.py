@@ -90,7 +90,9 @@ def to_decimal(c: Column) -> Column:
         limbs = F.transform(F.sequence(F.lit(0), F.lit(LIMBS - 1)), lambda k: F.conv(F.substring(_magnitude(x), k * 8 + 1, F.lit(8)), 16, 10).cast("long"))
         groups = F.aggregate(limbs, F.array_repeat(F.lit(0).cast("long"), _GROUPS), shifted)
         digits = F.array_join(F.transform(F.reverse(groups), lambda g: F.lpad(g.cast("string"), _GROUP, "0")), "")
-        return F.concat(F.when(x.startswith("-"), "-").otherwise(""), F.regexp_replace(digits, "^0+(?=.)", ""))
+        # Numbers of up to 60 bits need none of this.
+        short = F.when(_magnitude(x).startswith("0" * 49), F.conv(F.right(x, F.lit(15)), 16, 10))
+        return F.concat(F.when(x.startswith("-"), "-").otherwise(""), F.coalesce(short, F.regexp_replace(digits, "^0+(?=.)", "")))
 
     return _let(c, lambda x: F.when(x.isNotNull(), text(x)))
 
@@ -106,6 +108,12 @@ def parsed(c: Column) -> Column:
     return _let(c, signed)
 
 
+def from_word(c: Column) -> Column:
+    """Signed digits of a two's complement word of 64 hex digits."""
+    magnitude = lambda x: _carried([y + (1 if k == 0 else 0) for k, y in enumerate(limbs(F.translate(x, "0123456789abcdef", "fedcba9876543210")))])
+    return _let(c, lambda x: F.when(x.rlike("^[89a-f]"), F.concat(F.lit("-"), magnitude(x))).otherwise(x))
+
+
 def sortable(c: Column) -> Column:
     """Text that compares as signed digits do: negative ones by the complement of their magnitude."""
     complement = lambda x: F.translate(F.substring(x, 2, 64), "0123456789abcdef", "fedcba9876543210")

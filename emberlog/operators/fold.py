@@ -9,7 +9,7 @@ sequence: what came before a key's last delete is gone, and an update counts onl
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,11 +18,13 @@ from pyspark.sql import types as T
 
 from emberlog.functions import u256
 from emberlog.operators.iterate import iterate
-from emberlog.plans import expr
-from emberlog.plans.manifest import ManifestError, Operation, Table
+from emberlog.plans import calls, expr
+from emberlog.plans.manifest import ManifestError, Operation, Set, Table
 from emberlog.plans.values import compile_value, is_wide, literal, spark_type
 
 SEQ = "evt_seq"
+#: From distinct (network, target, calldata, block) to the same with `result`.
+Results = Callable[[DataFrame], DataFrame]
 _SIGN = {"add": 1, "increment": 1, "subtract": -1, "decrement": -1}
 _NUMBER = "decimal(38,0)"
 #: "the new value beats the stored one" in a condition, which makes its column a running extreme.
@@ -44,8 +46,29 @@ def _sum_type(table: Table, name: str) -> str:
     return _NUMBER if "int" in kind and not is_wide(kind) else spark_type(kind)
 
 
-def _operation_rows(df: DataFrame, table: Table, op: Operation, number: int, constants: Mapping | None) -> DataFrame:
+def _called(df: DataFrame, op: Operation, results: Results | None) -> tuple[DataFrame, Operation]:
+    """The view calls of an operation's texts as columns of df, and the operation over these."""
+    if not any("$call" in t for t in (op.condition, *op.where.values(), *(s.value for s in op.sets))):
+        return df, op
+    if results is None:
+        raise ManifestError("an operation calls a contract, but no results are given")
+    count = 0
+
+    def settled(text: str) -> str:
+        nonlocal df, count
+        n = len(calls.find_calls(text)) if "$call" in text else 0
+        if n:
+            df, text = calls.resolve(df, text, results, first=count)
+            count += n
+        return text
+
+    over = Operation(op.kind, {k: settled(t) for k, t in op.where.items()}, settled(op.condition), tuple(Set(s.column, s.action, settled(s.value)) for s in op.sets))
+    return df, over
+
+
+def _operation_rows(df: DataFrame, table: Table, op: Operation, number: int, constants: Mapping | None, results: Results | None = None) -> DataFrame:
     """(network, keys, evt_seq, _op, _kind, v_<column>, h_<column>) of one operation over its events."""
+    df, op = _called(df, op, results)
     find = expr.resolver(df.schema)
     network = F.col("network") if "network" in df.columns else F.lit("")
     value = lambda text, kind: compile_value(text, kind, find, constants, network)
@@ -80,15 +103,15 @@ def _operation_rows(df: DataFrame, table: Table, op: Operation, number: int, con
     return rows.select(*cols)
 
 
-def operation_rows(events: Mapping[str, DataFrame], table: Table, constants: Mapping | None = None) -> DataFrame:
-    """All operations of a table over their events, one row for each (event, operation)."""
+def operation_rows(events: Mapping[str, DataFrame], table: Table, constants: Mapping | None = None, results: Results | None = None) -> DataFrame:
+    """All operations of a table over their events, one row for each (event, operation). results answers view calls (calls.resolve)."""
     parts, number = [], 0
     for e in table.events:
         for op in e.operations:
             if e.name in events:
                 df = events[e.name]
                 df = iterate(df, e.iterate) if e.iterate else df
-                parts.append(_operation_rows(df, table, op, number, constants))
+                parts.append(_operation_rows(df, table, op, number, constants, results))
             number += 1
     if not parts:
         raise ManifestError(f"table {table.name}: none of its events is given")
@@ -219,9 +242,9 @@ def fold_rows(rows: DataFrame, table: Table, state: DataFrame | None = None) ->
     return merge(reduce_batch(rows, table), table, state)
 
 
-def fold(events: Mapping[str, DataFrame], table: Table, state: DataFrame | None = None, constants: Mapping | None = None) -> DataFrame:
+def fold(events: Mapping[str, DataFrame], table: Table, state: DataFrame | None = None, constants: Mapping | None = None, results: Results | None = None) -> DataFrame:
     """The table after all events of a batch. Insert-only tables are appended to, in any order."""
-    rows = operation_rows(events, table, constants)
+    rows = operation_rows(events, table, constants, results)
     if not table.insert_only:
         return fold_rows(rows, table, state)
     keys = table.keys

@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.operators.fold import by_key, fold, fold_rows, operation_rows
+from emberlog.operators.fold import Results, by_key, fold, fold_rows, operation_rows
 from emberlog.plans.manifest import Table
 
 #: Blocks of one bucket.
@@ -49,18 +49,18 @@ def orphaned_transactions(events: DataFrame, block: str, fork: int, until: int |
     return events.where(gone).select(tx_hash).distinct()
 
 
-def retract(state: DataFrame, events: Mapping[str, DataFrame], table: Table, block: str, fork: int, until: int | None = None, constants: Mapping | None = None) -> DataFrame:
+def retract(state: DataFrame, events: Mapping[str, DataFrame], table: Table, block: str, fork: int, until: int | None = None, constants: Mapping | None = None, results: Results | None = None) -> DataFrame:
     """The stored rows after the blocks from fork (to until) are gone."""
     kept = {n: survivors(e, block, fork, until) for n, e in events.items()}
     if table.insert_only:
-        return fold(kept, table, constants=constants)
+        return fold(kept, table, constants=constants, results=results)
     if not table.keys:
-        return fold(kept, table, constants=constants)
+        return fold(kept, table, constants=constants, results=results)
     gone = {n: e.where(F.col(block) >= fork if until is None else F.col(block).between(fork, until)) for n, e in events.items()}
-    touched = operation_rows(gone, table, constants).select(*table.keys).distinct()
+    touched = operation_rows(gone, table, constants, results).select(*table.keys).distinct()
     # Only the touched keys' rows are folded again; the others of the history are read and dropped before any shuffle
     # but that of the semi join, which broadcasts the touched keys where they are few.
-    again = fold_rows(by_key(operation_rows(kept, table, constants), touched, table.keys, "left_semi"), table)
+    again = fold_rows(by_key(operation_rows(kept, table, constants, results), touched, table.keys, "left_semi"), table)
     return by_key(state, touched, table.keys, "left_anti").unionByName(again)
 
 

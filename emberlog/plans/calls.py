@@ -11,9 +11,11 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.functions import u256
 from emberlog.functions.keccak import keccak256
 from emberlog.operators.lookup import with_calls
 from emberlog.plans import expr
@@ -60,7 +62,7 @@ def find_calls(text: str) -> list[Call]:
         sig = re.fullmatch(r"\s*(\w+)\(([^()]*)\)\s*(?:returns\s*\(([^()]*)\))?\s*", signature.strip("\"'"))
         if not sig:
             raise expr.ExprError(f"no signature: {signature!r}")
-        kinds = [k.strip() for k in sig[2].split(",") if k.strip()]
+        kinds = [k.split()[0] for k in sig[2].split(",") if k.strip()]
         if len(kinds) != len(args):
             raise expr.ExprError(f"{len(args)} arguments for {signature!r}")
         returns = tuple(k.strip() for k in (sig[3] or "").split(",") if k.strip())
@@ -73,12 +75,12 @@ def _word(c: Column, kind: str) -> Column:
     """An argument of a static type as 64 hex digits; null if it does not fit."""
     if kind == "bool":
         return F.lpad(c.cast("boolean").cast("int").cast("string"), 64, "0")
-    if kind.startswith("bytes") and kind != "bytes":
+    if kind in ("bytes", "string") or kind.endswith("]"):
+        raise expr.ExprError(f"arguments of type {kind} are not supported")
+    if kind.startswith("bytes"):
         return F.rpad(F.lower(F.regexp_replace(c.cast("string"), "^0x", "")), 64, "0")
-    text = c.cast("string")
-    number = F.when(text.rlike(r"^\d{1,18}$"), F.lower(F.hex(text.try_cast("long"))))
-    digits = F.when(text.rlike("^0[xX][0-9a-fA-F]{1,64}$"), F.lower(F.substring(text, 3, 64)))
-    return F.lpad(F.coalesce(number, digits), 64, "0")
+    digits = u256.parsed(c.cast("string"))
+    return F.when(~digits.startswith("-"), digits)
 
 
 def _value(text: str, find: expr.Resolve) -> Column:
@@ -93,15 +95,15 @@ def requested(call: Call, find: expr.Resolve) -> tuple[Column, Column]:
     return F.lower(_value(call.target, find).cast("string")), F.concat(F.lit("0x" + call.selector), *words)
 
 
-def resolve(df: DataFrame, text: str, results: Callable[[DataFrame], DataFrame], decode: Callable[[Column, Call], Column] | None = None, network: str = "network", block: str = "evt_block_number") -> tuple[DataFrame, str]:
-    """(df with a column for each call of text, the text over these columns).
+def resolve(df: DataFrame, text: str, results: Callable[[DataFrame], DataFrame], decode: Callable[[Column, Call], Column] | None = None, network: str = "network", block: str = "evt_block_number", first: int = 0) -> tuple[DataFrame, str]:
+    """(df with a column call_<k> for each call of text, from k = first on; the text over these columns).
 
     results: from distinct (network, target, calldata, block) to the same with `result`, words as 0x
-    text; block is null for static calls. Undecoded, a result's first word (or the one that [i] names)
-    is a whole number of up to 15 hex digits, else null; decode replaces that.
+    text; block is null for static calls. A result's word is the first, the one that [i] names, or the one that .name
+    names in the returns; numbers are decimal text, by their declared sign. decode replaces that.
     """
-    plain = decode or (lambda c, call: _number(c, int((re.findall(r"\[(\d+)\]", call.access) or ["0"])[0])))
-    for k, call in enumerate(find_calls(text)):
+    plain = decode or _decoded
+    for k, call in enumerate(find_calls(text), first):
         target, data = requested(call, expr.resolver(df.schema))
         asked = df.withColumns({"target": target, "calldata": data, "call_block": F.lit(None).cast("long") if call.static else F.col(block).cast("long")})
         keys = [network, "target", "calldata", "_block"]
@@ -113,6 +115,41 @@ def resolve(df: DataFrame, text: str, results: Callable[[DataFrame], DataFrame],
     return df, text
 
 
-def _number(c: Column, place: int) -> Column:
-    word = F.regexp_replace(F.substring(c, 3 + 64 * place, 64), "^0+(?=.)", "")
-    return F.when((F.length(c) >= 2 + 64 * (place + 1)) & (F.length(word) <= 15), F.conv(word, 16, 10).cast("decimal(38,0)"))
+def _decoded(c: Column, call: Call) -> Column:
+    """The word of a result that the call's accessor names; without stated returns what abi.guess() makes of it."""
+    if not call.returns and not call.access:
+        return _guessed(c)
+    names = [r.split()[1] if len(r.split()) > 1 else None for r in call.returns]
+    if m := re.fullmatch(r"\[(\d+)\]", call.access):
+        place = int(m[1])
+    elif call.access[1:] in names:
+        place = names.index(call.access[1:])
+    elif call.access:
+        raise expr.ExprError(f"no result {call.access!r} in {call.signature!r}")
+    else:
+        place = 0
+    kind = call.returns[place].split()[0] if place < len(call.returns) else "uint256"
+    word = F.when(F.length(c) >= 2 + 64 * (place + 1), F.lower(F.substring(c, 3 + 64 * place, 64)))
+    if kind == "address":
+        return F.concat(F.lit("0x"), F.right(word, F.lit(40)))
+    if kind == "bool":
+        return ~word.rlike("^0*$")
+    if kind.startswith("bytes") and kind != "bytes":
+        return F.concat(F.lit("0x"), F.substring(word, 1, 2 * int(kind[5:])))
+    if kind in ("bytes", "string"):
+        return _guessed(c)
+    return u256.to_decimal(u256.from_word(word) if kind.startswith("int") else word)
+
+
+def _guessed(c: Column) -> Column:
+    from emberlog.sources import abi
+
+    @F.pandas_udf("string")
+    def run(results: pd.Series) -> pd.Series:
+        out = []
+        for r in results:
+            value = abi.guess(bytes.fromhex(r[2:])) if isinstance(r, str) else None
+            out.append(value if value is None or isinstance(value, str) else "[" + ", ".join(value) + "]")
+        return pd.Series(out, dtype=object)
+
+    return run(c)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import yaml
 
 from emberlog.plans import expr
 from emberlog.plans.values import TYPES, spark_type
+from emberlog.sources import abi
 
 ACTIONS = ("set", "add", "subtract", "max", "min", "increment", "decrement")
 KINDS = ("upsert", "update", "insert", "delete")
@@ -20,6 +22,8 @@ METADATA = {
     "evt_block_number": "uint64", "evt_tx_index": "uint64", "evt_log_index": "uint64", "evt_tx_hash": "bytes32",
     "evt_block_hash": "bytes32", "evt_contract_address": "address", "evt_block_timestamp": "timestamp",
 }
+#: Metadata that tables get, and the names of the columns.
+INJECTED = {"evt_block_number": "block_number", "evt_block_timestamp": "block_timestamp", "evt_tx_hash": "tx_hash", "evt_block_hash": "block_hash", "evt_contract_address": "contract_address"}
 _INTERVAL = {"s": 1, "m": 60, "h": 3600, "d": 86400}
 
 
@@ -146,10 +150,21 @@ def table(spec: Mapping, fields: Mapping[str, Mapping[str, str]] | None = None)
             kind = infer_type(uses[0][1], fields.get(uses[0][0], {}), c.get("default"))
         columns.append(Column(c["name"], kind, c.get("default"), bool(c.get("nullable"))))
     out = Table(spec["name"], tuple(columns), tuple(events), bool(spec.get("global")), bool(spec.get("cross_chain", spec.get("cross_network"))), bool(spec.get("timestamp")))
+    out = with_metadata(out) if spec.get("metadata") else out
     check(out)
     return out
 
 
+def with_metadata(t: Table) -> Table:
+    """t with the injected columns that it does not declare itself, set by every event that touches a row: the latest by sequence."""
+    have = {c.name for c in t.columns}
+    wanted = {INJECTED[k]: k for k in INJECTED if INJECTED[k] not in have and (t.timestamp or k != "evt_block_timestamp")}
+    columns = tuple(Column(name, METADATA[k], nullable=True) for name, k in wanted.items())
+    sets = tuple(Set(name, "set", f"${k}") for name, k in wanted.items())
+    events = tuple(Event(e.name, tuple(o if o.kind == "delete" else replace(o, sets=o.sets + sets) for o in e.operations), e.iterate) for e in t.events)
+    return replace(t, columns=t.columns + columns, events=events)
+
+
 def check(t: Table) -> None:
     """Raises on a table that could not be folded as meant."""
     names = [c.name for c in t.columns]
@@ -209,4 +224,9 @@ def load(text: str) -> dict:
                 raise ManifestError(f"contract {c['name']}: no network {d['network']!r}")
             if d.get("start_block") and d.get("end_block") and int(d["start_block"]) > int(d["end_block"]):
                 raise ManifestError(f"contract {c['name']}: it ends before it starts")
-    return spec | {"tables": [table(t) for c in spec.get("contracts", []) for t in c.get("tables", [])]}
+    for c in spec.get("contracts", []):
+        own = abi.load_events(c["abi"] if isinstance(c["abi"], str) else json.dumps(c["abi"])) if c.get("abi") else {}
+        types = {e.name: {p.name: p.type for p in e.params} for e in own.values()}
+        c["events"] = own
+        c["tables"] = [table({"metadata": bool(own)} | t, types) for t in c.get("tables", [])]
+    return spec | {"tables": [t for c in spec.get("contracts", []) for t in c["tables"]]}

@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.functions import u256
 from emberlog.functions.keccak import keccak256
-from emberlog.functions.names import snake
 
 
 @dataclass(frozen=True)
@@ -176,18 +176,24 @@ def decode_logs(logs: DataFrame, event: Event) -> DataFrame:
     return logs.where(fit).mapInPandas(run, ", ".join(kinds))
 
 
+def is_plain(event: Event) -> bool:
+    """Whether all parameters are words, so that decode_static() takes the event."""
+    return not any(is_dynamic(p) or p.type == "tuple" or _array_of(p.type) for p in event.params)
+
+
 def decode_static(logs: DataFrame, event: Event) -> DataFrame:
-    """decode_logs() for events of static parameters, in JVM expressions: numbers as 64 hex digits (functions.u256)."""
+    """decode_logs() for events of static parameters, in JVM expressions, with the same columns."""
+    if not is_plain(event):
+        raise DecodeError(f"{event.name} is not static")
     out = logs.where((F.try_element_at("topics", F.lit(1)) == event.topic) & (F.size("topics") == 1 + sum(p.indexed for p in event.params)))
-    topic, word = 1, 0
-    for p in event.params:
-        if is_dynamic(p) or p.type == "tuple" or _array_of(p.type):
-            raise DecodeError(f"{p.name} is not static")
+    out = out.select(F.struct("*").alias("row"))
+    topic, word, cols = 1, 0, []
+    for k, p in enumerate(event.params):
         if p.indexed:
             topic += 1
-            c = F.substring(F.element_at("topics", topic), 3, 64)
+            c = F.substring(F.element_at("row.topics", topic), 3, 64)
         else:
-            c = F.substring("data", 3 + 64 * word, 64)
+            c = F.substring("row.data", 3 + 64 * word, 64)
             word += 1
         c = F.lower(c)
         if p.type == "address":
@@ -196,8 +202,16 @@ def decode_static(logs: DataFrame, event: Event) -> DataFrame:
             c = ~c.rlike("^0*$")
         elif p.type.startswith("bytes"):
             c = F.concat(F.lit("0x"), F.substring(c, 1, 2 * int(p.type[5:])))
-        out = out.withColumn(snake(p.name), c)
-    return out.where(F.length("data") >= 2 + 64 * word).drop("topics", "data")
+        else:
+            c = u256.to_decimal(u256.from_word(c) if p.type.startswith("int") else c)
+        cols.append(c.alias(p.name or f"arg{k}"))
+    names = [c for c in logs.columns if c not in ("topics", "data")]
+    return out.where(F.length("row.data") >= 2 + 64 * word).select(*(F.col("row")[c].alias(c) for c in names), *cols)
+
+
+def decoded(logs: DataFrame, event: Event) -> DataFrame:
+    """The event's logs with a column for each parameter, natively where all are words."""
+    return decode_static(logs, event) if is_plain(event) else decode_logs(logs, event)
 
 
 def guess(data: bytes):

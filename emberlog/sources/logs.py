@@ -11,7 +11,7 @@ RAW_LOG = (
     "network string, chain_id long, address string, topics array<string>, data string, block_number long, block_hash string, "
     "parent_hash string, block_timestamp timestamp, tx_hash string, tx_index long, log_index long, removed boolean"
 )
-#: Smallest share of a parallel scan, and most shares.
+#: Smallest share of a parallel scan, and its shares where the files do not call for more.
 MIN_BLOCKS, MAX_WORKERS = 1000, 32
 
 
@@ -33,7 +33,7 @@ def shares(start: int, end: int, workers: int = MAX_WORKERS) -> list[tuple[int,
     if end < start:
         return []
     n = end - start + 1
-    step = max(MIN_BLOCKS, -(-n // max(1, min(workers, MAX_WORKERS))))
+    step = max(MIN_BLOCKS, -(-n // max(1, workers)))
     return [(a, min(a + step - 1, end)) for a in range(start, end + 1, step)]
 
 
@@ -64,10 +64,25 @@ class BlockTable(DataSource):
         return self.options.get("block", "block_number")
 
     def head(self) -> int:
+        """The highest block, from the files' footers; a column without statistics is read file by file."""
         import pyarrow.compute as pc
 
-        column = self._file().to_table(columns=[self.block])[self.block]
-        return int(pc.max(column).as_py() or 0) if len(column) else -1
+        head = -1
+        for part in self._file().get_fragments():
+            at = part.physical_schema.get_field_index(self.block)
+            for k in range(part.metadata.num_row_groups):
+                known = part.metadata.row_group(k).column(at).statistics
+                if known is not None and known.has_min_max:
+                    head = max(head, int(known.max))
+                elif len(column := part.subset(row_group_ids=[k]).to_table(columns=[self.block])[self.block]):
+                    head = max(head, int(pc.max(column).as_py() or 0))
+        return head
+
+    def workers(self) -> int:
+        """Shares of a scan: at least one for each row group of the files."""
+        if "workers" in self.options:
+            return int(self.options["workers"])
+        return max(MAX_WORKERS, sum(p.metadata.num_row_groups for p in self._file().get_fragments()))
 
     def schema(self):
         from pyspark.sql.pandas.types import from_arrow_schema
@@ -100,7 +115,7 @@ class _Batch(DataSourceReader):
 
     def partitions(self):
         start, end = self.source.bounds()
-        return [_Range(a, b) for a, b in shares(start, end, int(self.source.options.get("workers", MAX_WORKERS)))] or [_Range(0, -1)]
+        return [_Range(a, b) for a, b in shares(start, end, self.source.workers())] or [_Range(0, -1)]
 
     def read(self, partition):
         return self.source.rows(partition)
@@ -118,7 +133,7 @@ class _Stream(DataSourceStreamReader):
         return {"block": max(start, end + 1)}
 
     def partitions(self, start: dict, end: dict):
-        return [_Range(a, b) for a, b in shares(start["block"], end["block"] - 1)] or [_Range(0, -1)]
+        return [_Range(a, b) for a, b in shares(start["block"], end["block"] - 1, self.source.workers())] or [_Range(0, -1)]
 
     def read(self, partition):
         return self.source.rows(partition)
