@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlog.functions import u256
+from emberlog.operators import ordered as ordered_fold
 from emberlog.operators.iterate import iterate
 from emberlog.plans import calls, expr
 from emberlog.plans.manifest import ManifestError, Operation, Set, Table
@@ -46,6 +47,13 @@ def _sum_type(table: Table, name: str) -> str:
     return _NUMBER if "int" in kind and not is_wide(kind) else spark_type(kind)
 
 
+def in_order(table: Table) -> bool:
+    """Whether a condition looks at the stored row otherwise than as a running extreme of a column that its operation sets."""
+    looking = [o for o in table.operations if "@" in o.condition]
+    plain = lambda o: (m := _BEATS.match(o.condition)) and m[3] in {s.column for s in o.sets if s.action == "set"} and o.kind == "upsert"
+    return any(not plain(o) for o in looking) or bool(looking) and len(table.operations) > 1
+
+
 def _called(df: DataFrame, op: Operation, results: Results | None) -> tuple[DataFrame, Operation]:
     """The view calls of an operation's texts as columns of df, and the operation over these."""
     if not any("$call" in t for t in (op.condition, *op.where.values(), *(s.value for s in op.sets))):
@@ -73,10 +81,11 @@ def _operation_rows(df: DataFrame, table: Table, op: Operation, number: int, con
     network = F.col("network") if "network" in df.columns else F.lit("")
     value = lambda text, kind: compile_value(text, kind, find, constants, network)
     beats = _BEATS.match(op.condition) if "@" in op.condition else None
-    if "@" in op.condition and not beats:
-        raise ManifestError(f"table {table.name}: a condition on the stored row must compare a field with it: {op.condition!r}")
-    rows = df.where(expr.test(op.condition, find)) if op.condition and not beats else df
-    cols = [F.col(SEQ), F.lit(number).alias("_op"), F.lit(op.kind).alias("_kind")]
+    ordered = in_order(table)
+    beats = None if ordered else beats
+    rows = df.where(expr.test(op.condition, find)) if op.condition and "@" not in op.condition else df
+    cols = [ordered_fold.event_of(df, op).alias("_event")] if ordered else []
+    cols += [F.col(SEQ), F.lit(number).alias("_op"), F.lit(op.kind).alias("_kind")]
     for k in table.keys:
         cols.append((network if k == "network" else value(op.where[k], table.column(k).type) if k in op.where else F.lit(None).cast(spark_type(table.column(k).type))).alias(k))
     actions = _actions(table)
@@ -98,8 +107,6 @@ def _operation_rows(df: DataFrame, table: Table, op: Operation, number: int, con
         field, sign, column = beats[1], beats[2], beats[3]
         up = find(expr.field(field))[0].cast("double") * (1 if sign[0] == ">" else -1)
         cols.append(F.struct(up.alias("by"), (F.col(SEQ).cast(_NUMBER) * (1 if len(sign) == 2 else -1)).alias("then")).alias("_rank"))
-        if column not in given:
-            raise ManifestError(f"table {table.name}: {op.condition!r} tests a column that the operation does not set")
     return rows.select(*cols)
 
 
@@ -239,6 +246,11 @@ def merge(batch: DataFrame, table: Table, state: DataFrame | None = None) -> Dat
 
 def fold_rows(rows: DataFrame, table: Table, state: DataFrame | None = None) -> DataFrame:
     """The table after operation_rows()."""
+    if in_order(table):
+        first = rows.sparkSession.range(1).select(*(_default(table, c.name).alias(c.name) for c in table.columns)).first()
+        defaults = {c.name: (spark_type(c.type), first[c.name]) for c in table.columns}
+        out = ordered_fold.fold_in_order(rows, table, _actions(table), defaults, state, SEQ)
+        return out.select(*table.keys, *(F.col(c.name).cast(spark_type(c.type)).alias(c.name) for c in table.columns if c.name not in table.keys), F.col(SEQ).cast(rows.schema[SEQ].dataType))
     return merge(reduce_batch(rows, table), table, state)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from emberlog.operators.fold import Results, fold, merge, operation_rows, reduce_batch
+from emberlog.operators.fold import Results, fold, fold_rows, in_order, merge, operation_rows, reduce_batch
 from emberlog.operators.reorg import orphaned_transactions, reorg_message, retract
 from emberlog.plans.manifest import Table
 from emberlog.streaming.state import BUCKET, Store
@@ -27,10 +27,13 @@ def fold_into(store: Store, events: Mapping[str, DataFrame], table: Table, batch
     if not table.keys:
         store.write(fold(events, table, store.read(), constants, results), batch)
         return
-    reduced = reduce_batch(operation_rows(events, table, constants, results), table).withColumn(BUCKET, store.bucket_of(table.keys)).persist()
+    rows = operation_rows(events, table, constants, results)
+    ordered = in_order(table)
+    reduced = (rows if ordered else reduce_batch(rows, table)).withColumn(BUCKET, store.bucket_of(table.keys)).persist()
     try:
         touched = [r[0] for r in reduced.select(BUCKET).distinct().collect()]  # at most as many as there are buckets
-        merged = merge(reduced.drop(BUCKET), table, store.read(touched))
+        state = store.read(touched)
+        merged = fold_rows(reduced.drop(BUCKET), table, state) if ordered else merge(reduced.drop(BUCKET), table, state)
         store.merge_buckets(merged, touched, batch, table.keys)
     finally:
         reduced.unpersist()

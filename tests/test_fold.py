@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from emberlog.functions import u256
 from emberlog.operators import blocktime, cron, fold, iterate, messages, read, reorg, scan
 from emberlog.plans import manifest
 
@@ -91,9 +92,32 @@ def test_running_extreme_by_condition(log):
         if key not in want or r["x"] > want[key][0]:
             want[key] = (r["x"], r["kind"])
     assert {(r["network"], r["k"]): (r["high"], r["last"]) for r in fold.fold({"log": log}, t).collect()} == want
-    odd = table([{"type": "upsert", "where": {"k": "$k"}, "if": "$x > @high && x > 1", "set": sets(high=("set", "$x"))}], [{"name": "high", "type": "int64"}])
-    with pytest.raises(manifest.ManifestError):
-        fold.fold({"log": log}, odd)
+
+
+@pytest.mark.parametrize("cut", [0, 100])
+def test_conditions_on_the_stored_row_in_order(log, cut):
+    """Conditions that no aggregate expresses, in one batch and in two, against plain Python."""
+    columns = [{"name": "total", "type": "int128", "default": 0}, {"name": "last", "type": "int64", "nullable": True}, {"name": "wide", "type": "uint256", "default": 0}]
+    ops = [
+        {"type": "upsert", "where": {"k": "$k"}, "if": "$x + 3 > @last && @total < 400", "set": sets(total=("add", "$x"), last=("set", "$x"), wide=("add", f"$x * {2**200}"))},
+        {"type": "update", "where": {"k": "$k"}, "if": "@total >= 300 && x % 2 == 0".replace("x % 2 == 0", "x > 10"), "set": sets(total=("subtract", "$x"))},
+        {"type": "delete", "where": {"k": "$k"}, "if": "kind == 'del' && @total > 350"},
+    ]
+    t = table(ops, columns)
+    rows = {}
+    for seq, network, k, x, kind in sorted(tuple(r) for r in log.collect()):
+        key = (network, k)
+        r = rows.get(key)
+        if r is None or x + 3 > r[1] and r[0] < 400:
+            old = r or (0, None, 0, 0)
+            r = rows[key] = (old[0] + x, x, old[2] + x * 2**200, seq)
+        if r[0] >= 300 and x > 10:
+            r = rows[key] = (r[0] - x, *r[1:3], seq)
+        if kind == "del" and r[0] > 350:
+            del rows[key]
+    first = fold.fold({"log": log.where(F.col("evt_seq") < cut)}, t) if cut else None
+    out = fold.fold({"log": log.where(F.col("evt_seq") >= cut)}, t, first).withColumn("wide", u256.to_decimal(F.col("wide")))
+    assert {(r["network"], r["k"]): (int(r["total"]), r["last"], int(r["wide"]), r["evt_seq"]) for r in out.collect()} == rows
 
 
 def test_insert_keeps_every_row(log):
