@@ -2,20 +2,23 @@
 
 Comparison of the padded digits is that of the numbers. A negative number is "-" and the digits of its
 magnitude; sortable() compares those too. Stored columns have 0x before the digits, so that they are read back
-as what they are. All of it stays in the JVM; a quotient of more than 38 digits goes bit by bit and is slow.
-Whatever leaves the range is null, the engine's mark of an error.
+as what they are. Sums, differences and comparisons stay in the JVM; conversion from and to decimal text, products,
+quotients and powers are Arrow batches of Python integers. Whatever leaves the range is null, the engine's mark of an error.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BITS, LIMBS = 256, 8
 TOP = 1 << BITS
 _ZERO = "0" * 64
-#: Decimal digits in groups of nine, nine groups for 78 digits.
-_GROUP, _GROUPS = 9, 9
+_NUMERAL = re.compile(r"-?(?:\d{1,78}|0[xX][0-9a-fA-F]{1,64})", re.ASCII)
 
 
 def _let(c: Column, use) -> Column:
@@ -48,62 +51,80 @@ def from_whole(c: Column) -> Column:
     return _let(c.cast("decimal(38,0)"), lambda x: F.concat(F.when(x < 0, "-").otherwise(""), digits(F.abs(x))))
 
 
-def from_decimal(c: Column) -> Column:
-    """Padded digits of decimal text; null if it is none or too large."""
-    text = F.lpad(F.when(c.rlike(r"^\d{1,78}$"), c), _GROUP * _GROUPS, "0")
-    groups = F.transform(F.sequence(F.lit(0), F.lit(_GROUPS - 1)), lambda k: F.substring(text, k * _GROUP + 1, F.lit(_GROUP)).cast("long"))
-    zero = F.lit(0).cast("long")
+def _converted(c: Column) -> Column:
+    """from_decimal() in the JVM, for conditions that seldom need it: slower, but only where it is looked at.
 
-    def shifted(limbs: Column, group: Column) -> Column:
-        """limbs * 10^9 + group, the lowest limb first."""
-        start = F.struct(group.alias("carry"), F.array().cast("array<bigint>").alias("out"))
-        step = lambda s, x: F.struct(
-            F.shiftright(x * 10**_GROUP + s["carry"], 32).alias("carry"),
-            F.array_append(s["out"], (x * 10**_GROUP + s["carry"]).bitwiseAND(F.lit(0xFFFFFFFF))).alias("out"),
-        )
-        return F.aggregate(limbs, start, step)["out"]
+    The text is A * 10^52 + B * 10^26 + C; the parts are multiplied out in places of 16 bits.
+    """
+    text = F.lpad(F.when(c.rlike(r"^\d{1,78}$"), c), 78, "0")
+    part = lambda t, k: from_whole(F.substring(t, 1 + 26 * k, 26).cast("decimal(26,0)"))
+    place = lambda digits, i: F.conv(F.substring(digits, 61 - 4 * i, 4), 16, 10).cast("long")
+    parts = _let(text, lambda t: F.array(*(place(d, i) for d in (part(t, k) for k in range(3)) for i in range(6))))
+    unit = [[(10**e >> 16 * j) & 0xFFFF for j in range(17)] for e in (52, 26, 0)]
 
-    limbs = F.aggregate(groups, F.array_repeat(zero, LIMBS + 1), shifted)
-    return _digits(limbs)
+    def product(p: Column, k: int) -> Column:
+        terms = [p[6 * n + i] * unit[n][k - i] for n in range(3) for i in range(6) if 0 <= k - i < 17 and unit[n][k - i]]
+        return reduce(lambda x, y: x + y, terms, F.lit(0).cast("long"))
 
+    def carried(p: Column) -> Column:
+        out, carry = [], F.lit(0).cast("long")
+        for k in range(17):
+            whole = p[k] + carry
+            out.append(F.lpad(F.lower(F.hex(whole.bitwiseAND(F.lit(0xFFFF)))), 4, "0"))
+            carry = F.shiftright(whole, 16)
+        return F.when((out[16] == "0000") & (carry == 0), F.concat(*reversed(out[:16])))
 
-def _digits(limbs: Column) -> Column:
-    """Padded digits of nine limbs of which the last must be 0."""
-    own = F.transform(F.reverse(F.slice(limbs, 1, LIMBS)), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0"))
-    return F.when(F.element_at(limbs, LIMBS + 1) == 0, F.array_join(own, ""))
+    wide = _let(parts, lambda p: F.array(*(product(p, k) for k in range(17))))
+    short = F.when(c.rlike(r"^\d{1,18}$"), F.lpad(F.lower(F.hex(c.try_cast("long"))), 64, "0"))
+    return F.coalesce(short, F.when(text.isNotNull(), _let(wide, carried)))
 
 
-def to_decimal(c: Column) -> Column:
-    """Decimal text of digits of either sign, with or without 0x."""
-    unit = F.lit(10**_GROUP)
+def digits(v: int) -> str | None:
+    """The signed digits of a whole number."""
+    return f"{'-' if v < 0 else ''}{abs(v):064x}" if abs(v) < TOP else None
+
+
+def number(text) -> int | None:
+    """The whole number of decimal or 0x text of either sign, else None."""
+    if not isinstance(text, str) or not _NUMERAL.fullmatch(text):
+        return None
+    bare = text.lstrip("-")
+    v = int(bare, 16) if bare[:2] in ("0x", "0X") else int(bare)
+    return -v if text[0] == "-" else v
+
+
+def _texts(fn):
+    """A pandas UDF of one text."""
 
-    def shifted(groups: Column, limb: Column) -> Column:
-        """groups * 2^32 + limb, the lowest group first."""
-        start = F.struct(limb.alias("carry"), F.array().cast("array<bigint>").alias("out"))
-        step = lambda s, x: F.struct(
-            F.call_function("div", x * (1 << 32) + s["carry"], unit).alias("carry"),
-            F.array_append(s["out"], (x * (1 << 32) + s["carry"]) % unit).alias("out"),
-        )
-        return F.aggregate(groups, start, step)["out"]
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([fn(t) for t in texts], dtype=object)
 
-    def text(x: Column) -> Column:
-        limbs = F.transform(F.sequence(F.lit(0), F.lit(LIMBS - 1)), lambda k: F.conv(F.substring(_magnitude(x), k * 8 + 1, F.lit(8)), 16, 10).cast("long"))
-        groups = F.aggregate(limbs, F.array_repeat(F.lit(0).cast("long"), _GROUPS), shifted)
-        digits = F.array_join(F.transform(F.reverse(groups), lambda g: F.lpad(g.cast("string"), _GROUP, "0")), "")
-        # Numbers of up to 60 bits need none of this.
-        short = F.when(_magnitude(x).startswith("0" * 49), F.conv(F.right(x, F.lit(15)), 16, 10))
-        return F.concat(F.when(x.startswith("-"), "-").otherwise(""), F.coalesce(short, F.regexp_replace(digits, "^0+(?=.)", "")))
+    return run
 
-    return _let(c, lambda x: F.when(x.isNotNull(), text(x)))
+
+def from_decimal(c: Column) -> Column:
+    """Padded digits of decimal text; null if it is none or too large."""
+    return _texts(lambda t: digits(int(t)) if isinstance(t, str) and t.isascii() and t.isdigit() else None)(c)
+
+
+def to_decimal(c: Column) -> Column:
+    """Decimal text of digits of either sign, with or without 0x."""
+    return _texts(lambda t: str(int(t, 16)) if isinstance(t, str) else None)(c)
 
 
 def parsed(c: Column) -> Column:
     """Signed digits of decimal or 0x text; null if it is neither."""
+    return _texts(lambda t: None if (v := number(t)) is None else digits(v))(c)
+
+
+def converted(c: Column) -> Column:
+    """parsed() in the JVM; see _converted()."""
 
     def signed(text: Column) -> Column:
         bare = F.regexp_replace(text, "^-", "")
-        digits = F.when(bare.rlike("^0[xX]"), from_hex(bare)).otherwise(from_decimal(bare))
-        return _let(digits, lambda d: F.when(text.startswith("-") & (d != _ZERO), F.concat(F.lit("-"), d)).otherwise(d))
+        own = F.when(bare.rlike("^0[xX]"), from_hex(bare)).otherwise(_converted(bare))
+        return _let(own, lambda d: F.when(text.startswith("-") & (d != _ZERO), F.concat(F.lit("-"), d)).otherwise(d))
 
     return _let(c, signed)
 
@@ -116,8 +137,8 @@ def from_word(c: Column) -> Column:
 
 def sortable(c: Column) -> Column:
     """Text that compares as signed digits do: negative ones by the complement of their magnitude."""
-    complement = lambda x: F.translate(F.substring(x, 2, 64), "0123456789abcdef", "fedcba9876543210")
-    return _let(c, lambda x: F.when(x.startswith("-"), F.concat(F.lit("0"), complement(x))).otherwise(F.concat(F.lit("1"), x)))
+    complement = F.translate(F.substring(c, 2, 64), "0123456789abcdef", "fedcba9876543210")
+    return F.when(c.startswith("-"), F.concat(F.lit("0"), complement)).otherwise(F.concat(F.lit("1"), c))
 
 
 def stored(c: Column) -> Column:
@@ -162,19 +183,9 @@ def subtract(a: Column, b: Column) -> Column:
     return _carried([x - y for x, y in zip(limbs(a), limbs(b), strict=True)])
 
 
-def plus(a: Column, b: Column) -> Column:
-    """The sum of signed digits."""
-    return _let(F.struct(a.alias("a"), b.alias("b")), lambda s: _signed([x + y for x, y in zip(signed_limbs(s["a"]), signed_limbs(s["b"]), strict=True)]))
-
-
-def minus(a: Column, b: Column) -> Column:
-    """The difference of signed digits; null if it is negative."""
-    return _let(F.struct(a.alias("a"), b.alias("b")), lambda s: _carried([x - y for x, y in zip(signed_limbs(s["a"]), signed_limbs(s["b"]), strict=True)]))
-
-
 def negated(c: Column) -> Column:
     """A number's negative."""
-    return _let(c, lambda x: F.when(x.startswith("-"), F.substring(x, 2, 66)).otherwise(F.concat(F.lit("-"), x)))
+    return F.when(c.startswith("-"), F.substring(c, 2, 66)).otherwise(F.concat(F.lit("-"), c))
 
 
 def signed_sum(c: Column) -> Column:
@@ -194,72 +205,25 @@ def total(c: Column) -> Column:
     return _carried([F.sum(x) for x in limbs(c)])
 
 
-def _pair(a: Column, b: Column, use) -> Column:
-    """use(struct(a, b)) of two numbers that are there and not negative, else null."""
-    own = lambda s: F.when(~s["a"].startswith("-") & ~s["b"].startswith("-"), use(s))
-    return _let(F.struct(a.alias("a"), b.alias("b")), own)
-
-
-def _quarters(c: Column) -> Column:
-    """Sixteen longs of 16 bits, the lowest first."""
-    return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.conv(F.substring(c, F.lit(61) - k * 4, F.lit(4)), 16, 10).cast("long"))
-
-
-def _product(a: Column, b: Column) -> Column:
-    zero = F.lit(0).cast("long")
-
-    def place(p: Column, k: Column) -> Column:
-        one = lambda t, i: t + F.when((k >= i) & (k - i < 16), F.get(p["a"], i) * F.get(p["b"], k - i)).otherwise(zero)
-        return F.aggregate(F.sequence(F.lit(0), F.lit(15)), zero, one)
+def _python(fn):
+    @F.pandas_udf("string")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            v = fn(int(x, 16), int(y, 16)) if isinstance(x, str) and isinstance(y, str) else None
+            out.append(f"{v:064x}" if v is not None and 0 <= v < TOP else None)
+        return pd.Series(out, dtype=object)
 
-    def carried(places: Column) -> Column:
-        start = F.struct(zero.alias("carry"), F.array().cast("array<bigint>").alias("out"))
-        step = lambda s, x: F.struct(F.shiftright(x + s["carry"], 16).alias("carry"), F.array_append(s["out"], (x + s["carry"]).bitwiseAND(F.lit(0xFFFF))).alias("out"))
-        return F.aggregate(places, start, step)["out"]
-
-    def digits(out: Column) -> Column:
-        text = F.array_join(F.transform(F.reverse(F.slice(out, 1, 16)), lambda x: F.lpad(F.lower(F.hex(x)), 4, "0")), "")
-        return F.when(~F.exists(F.slice(out, 17, 16), lambda x: x != 0), text)
-
-    both = F.struct(_quarters(a).alias("a"), _quarters(b).alias("b"))
-    return _let(_let(both, lambda p: carried(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: place(p, k)))), digits)
+    return run
 
 
 def multiply(a: Column, b: Column) -> Column:
-    return _pair(a, b, lambda s: _product(s["a"], s["b"]))
-
-
-def _quotient(a: Column, b: Column) -> Column:
-    """Bit by bit: the remainder takes the next bit of a, and b is taken off where it fits; both are padded digits."""
-    binary = F.array_join(F.transform(F.reverse(_quarters(a)), lambda x: F.lpad(F.conv(x.cast("string"), 10, 2), 16, "0")), "")
-    bits = _let(binary, lambda t: F.transform(F.sequence(F.lit(1), F.lit(BITS)), lambda k: F.substring(t, k, F.lit(1))))
-    start = F.struct(F.lit(_ZERO).alias("rest"), F.lit("").alias("bits"))
-
-    def step(s: Column, bit: Column) -> Column:
-        doubled = _carried([x * 2 + (bit.cast("long") if k == 0 else F.lit(0).cast("long")) for k, x in enumerate(limbs(s["rest"]))])
-        # A remainder of more than 256 bits is larger than b as well; what is taken off brings it back.
-        over = _carried([x * 2 + (bit.cast("long") if k == 0 else F.lit(0).cast("long")) - y for k, (x, y) in enumerate(zip(limbs(s["rest"]), limbs(b), strict=True))])
-        return F.struct(F.coalesce(over, doubled).alias("rest"), F.concat(s["bits"], F.when(over.isNotNull(), "1").otherwise("0")).alias("bits"))
-
-    out = F.aggregate(bits, start, step)["bits"]
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.lpad(F.lower(F.conv(F.substring(out, k * 16 + 1, F.lit(16)), 2, 16)), 4, "0")), "")
+    return _python(lambda x, y: x * y)(a, b)
 
 
 def divide(a: Column, b: Column) -> Column:
-    """The quotient rounded down; null for 0 as divisor. Decimals where both have up to 38 digits."""
-    short = "0" * 33
-
-    def whole(s: Column) -> Column:
-        x, y = (to_decimal(s[c]).try_cast("decimal(38,0)") for c in "ab")
-        return _let(F.struct(x.alias("x"), y.alias("y")), lambda d: from_whole(F.try_divide(d["x"] - F.try_mod(d["x"], d["y"]), d["y"]).cast("decimal(38,0)")))
-
-    fits = lambda s: s["a"].startswith(short) & s["b"].startswith(short)
-    return _pair(a, b, lambda s: F.when(s["b"] != _ZERO, F.when(fits(s), whole(s)).otherwise(_quotient(s["a"], s["b"]))))
+    return _python(lambda x, y: x // y if y else None)(a, b)
 
 
 def power(a: Column, b: Column) -> Column:
-    one = F.lit("0" * 63 + "1")
-    count = lambda s: F.conv(F.right(s["b"], F.lit(4)), 16, 10).cast("int")
-    product = lambda s: F.aggregate(F.sequence(F.lit(1), count(s)), one, lambda t, _: F.when(t.isNotNull(), _product(t, s["a"])))
-    known = lambda s: F.when((s["b"] == _ZERO) | (s["a"] == one), one).when(s["a"] == _ZERO, s["a"])
-    return _pair(a, b, lambda s: F.coalesce(known(s), F.when(s["b"] <= F.lit(f"{BITS:064x}"), product(s))))
+    return _python(lambda x, y: x**y if x < 2 or y <= BITS else None)(a, b)

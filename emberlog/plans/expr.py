@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from decimal import Decimal
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -261,7 +262,7 @@ def _column(tree, find: Resolve) -> tuple[Column, str]:
             raise ExprError("a power needs whole numbers")
         return _column(Lit(tree.args[0].value ** tree.args[1].value), find)
     if {ka, kb} != {"int"} or _width(tree, find) > 38:
-        return _wide_arithmetic(tree.name, wide(a, ka), wide(b, kb)), "wide"
+        return _interpreted(tree, find), "wide"
     if tree.name == "+":
         return F.try_add(a, b).cast(WIDE), "int"
     if tree.name == "-":
@@ -276,11 +277,22 @@ def _column(tree, find: Resolve) -> tuple[Column, str]:
     return out, "int"
 
 
-def _wide_arithmetic(name: str, a: Column, b: Column) -> Column:
-    """Checked: what is negative or beyond 256 bits is null, and so are products, quotients and powers of negative numbers."""
-    if name in "+-":
-        return u256.plus(a, b) if name == "+" else u256.minus(a, b)
-    return {"*": u256.multiply, "/": u256.divide, "^": u256.power}[name](a, b)
+def _interpreted(tree: Op, find: Resolve) -> Column:
+    """The signed digits of an arithmetic tree of wide numbers: one Arrow batch for the whole tree, by evaluate()."""
+    leaves = sorted(fields(tree), key=repr)
+
+    @F.pandas_udf("string")
+    def run(*columns: pd.Series) -> pd.Series:
+        out = []
+        for row in zip(*columns, strict=True):
+            try:
+                v = evaluate(tree, dict(zip(leaves, row, strict=True)), look=_leaf)
+            except _Failed:
+                v = None
+            out.append(u256.digits(v) if isinstance(v, int) else None)
+        return pd.Series(out, dtype=object)
+
+    return run(*(find(f)[0].cast("string") for f in leaves))
 
 
 def _double(c: Column, kind: str) -> Column:
@@ -319,6 +331,9 @@ def _compare(tree: Op, find: Resolve) -> Column:
         return test(a, b)
     if "fixed" in kinds and kinds <= {"int", "fixed", "wide", "text"}:
         return test(_double(a, ka), _double(b, kb))
+    for c, kind, other, left in ((a, ka, tree.args[1], True), (b, kb, tree.args[0], False)):
+        if kind == "text" and isinstance(other, Lit) and isinstance(other.value, int) and abs(other.value) < u256.TOP:
+            return _against(c, other.value, test if left else lambda x, y: test(y, x))
     if kinds & {"int", "wide"} and kinds <= {"int", "wide", "text"}:
         return test(u256.sortable(wide(a, ka)), u256.sortable(wide(b, kb)))
     if kinds == {"text"}:
@@ -326,14 +341,39 @@ def _compare(tree: Op, find: Resolve) -> Column:
     return test(a, b) if len(kinds) == 1 and tree.name in ("==", "!=") else null
 
 
+_DECIMAL, _HEXA = r"^\d{1,78}$", "^0[xX][0-9a-fA-F]{1,64}$"
+
+
+def _padded(c: Column) -> tuple[Column, Column]:
+    """Decimal text and 0x text so that each compares among its kind."""
+    return F.lpad(c, 78, "0"), F.lpad(F.lower(F.substring(c, 3, 64)), 64, "0")
+
+
+def _against(c: Column, number: int, test: Callable) -> Column:
+    """Text against a whole number: decimal text by its padded digits, 0x text by its own, without converting either."""
+    decimal, hexa = _padded(c)
+    fits = c.rlike(_DECIMAL) & (decimal < f"{u256.TOP:078d}")
+    above, below = test(F.lit(1), F.lit(0)), test(F.lit(0), F.lit(1))
+    if number >= 0:
+        out = F.when(fits, test(decimal, F.lit(f"{number:078d}"))).when(c.rlike(_HEXA), test(hexa, F.lit(f"{number:064x}")))
+        return out.when(c.rlike(r"^-\d{1,78}$"), below)
+    # Of two negative numbers the one of the smaller magnitude is larger.
+    return F.when(fits | c.rlike(_HEXA), above).when(c.rlike(r"^-\d{1,78}$"), test(F.lit(f"{-number:078d}"), F.lpad(F.substring(c, 2, 78), 78, "0")))
+
+
 def _texts(tree: Op, a: Column, b: Column, test: Callable) -> Column:
     """Texts that both are numbers (decimal or 0x) compare as such, others only for equality, without case and 0x."""
     same = tree.name in ("==", "!=")
     alike = test(*(F.regexp_replace(F.lower(x), "^0x", "") for x in (a, b))) if same else F.lit(None).cast("boolean")
-    if any(isinstance(x, Lit) and not _NUMERAL.fullmatch(x.value) for x in tree.args):
-        return alike
-    x, y = (u256.sortable(u256.parsed(c)) for c in (a, b))
-    return F.when(x.isNotNull() & y.isNotNull(), test(x, y)).otherwise(alike)
+    for c, other, left in ((a, tree.args[1], True), (b, tree.args[0], False)):
+        if isinstance(other, Lit):
+            number = u256.number(other.value)
+            return alike if number is None or abs(number) >= u256.TOP else F.coalesce(_against(c, number, test if left else lambda x, y: test(y, x)), alike)
+    (da, ha), (db, hb) = _padded(a), _padded(b)
+    both = lambda pattern: a.rlike(pattern) & b.rlike(pattern)
+    x, y = (u256.sortable(u256.converted(c)) for c in (a, b))
+    out = F.when(both(_HEXA), test(ha, hb)).when(both(_DECIMAL), test(da, db))
+    return out.when(both(f"^{_NUMERAL.pattern}$"), test(x, y)).otherwise(alike)
 
 
 def _condition(tree, find: Resolve, root: bool = False) -> Column:
@@ -407,20 +447,28 @@ def _as_number(v):
     return v
 
 
-def evaluate(tree, event: Mapping, table: Mapping | None = None):
+def _leaf(f: Field, event: Mapping, table: Mapping | None):
+    """A field's value where event has it under the field itself."""
+    v = event[f]
+    if not isinstance(v, str):
+        raise _Failed
+    return v
+
+
+def evaluate(tree, event: Mapping, table: Mapping | None = None, look: Callable = _look):
     """The value of a tree for one event and, for @fields, one table row. Raises on errors; see holds()."""
     if isinstance(tree, Lit):
         return tree.value
     if isinstance(tree, Field):
-        return _look(tree, event, table)
+        return look(tree, event, table)
     if tree.name == "!":
-        return not evaluate(tree.args[0], event, table)
-    a = evaluate(tree.args[0], event, table)
+        return not evaluate(tree.args[0], event, table, look)
+    a = evaluate(tree.args[0], event, table, look)
     if tree.name == "&&":
-        return bool(a) and evaluate(tree.args[1], event, table)
+        return bool(a) and evaluate(tree.args[1], event, table, look)
     if tree.name == "||":
-        return bool(a) or evaluate(tree.args[1], event, table)
-    b = evaluate(tree.args[1], event, table)
+        return bool(a) or evaluate(tree.args[1], event, table, look)
+    b = evaluate(tree.args[1], event, table, look)
     if tree.name in _COMPARE:
         if isinstance(a, str) != isinstance(b, str) and not isinstance(a, bool) and not isinstance(b, bool):
             a, b = _as_number(a), _as_number(b)
@@ -442,7 +490,7 @@ def evaluate(tree, event: Mapping, table: Mapping | None = None):
         if tree.name == "/" and not b:
             raise _Failed
         return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b, "^": lambda: a**b}[tree.name]()
-    if tree.name == "/" and not b or tree.name == "^" and (b < 0 or b > 256):
+    if tree.name == "/" and not b or tree.name == "^" and (b < 0 or b > 256 and abs(a) > 1):
         raise _Failed
     out = {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a // b, "^": lambda: a**b}[tree.name]()
     if tree.name == "-" and out < 0 or abs(out) >= 1 << 256:
