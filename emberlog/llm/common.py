@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from emberlog.shipping import ship
 
 _OWN_FOLDER: list[str] = []
+#: Paths of the tables that stored() made, in order.
+_MADE: list[str] = []
 SMALL_BYTES = 256 << 20
 
 
@@ -73,11 +75,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete_at_exit, spark, path)
+    _MADE.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def tables_made() -> int:
+    """How many tables stored() has made so far; see drop_since()."""
+    return len(_MADE)
+
+
+def drop_since(keep: DataFrame, count: int) -> None:
+    """Deletes all tables that stored() made after the first `count`, but `keep`, which nothing of theirs feeds any more."""
+    kept = getattr(keep, "_stored_at", None)
+    for path in _MADE[count:]:
+        if path != kept:
+            _delete(keep.sparkSession, path)
+    _MADE[count:] = [kept] if kept in _MADE[count:] else []
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes a table made by stored() that nothing reads any more."""
     path = getattr(df, "_stored_at", None)

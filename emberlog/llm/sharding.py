@@ -7,8 +7,13 @@ settled when the bytes below a boundary are within `tolerance` of a shard of its
 cell is a single row. At most 4,096 numbers per open splitter reach the driver, at any input size.
 Then rows move once, into their shard.
 
+Near equal means: a shard's bytes are within `tolerance` of a shard of their share, unless a single row or a group of
+equal texts is larger than that; then they are off by at most the row that a boundary falls into. With few
+large rows the shards of a small table can so differ by the size of its largest texts.
+
 A group of equal texts is cut only where no boundary beside it meets the tolerance. Null texts count as
-empty ones of size 16; repeated rows are all placed; an empty table gives no rows.
+empty ones of size 16; repeated rows are all placed; an empty table gives no rows. Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,11 @@ imply "bad" with enough support and confidence, of which only those without a sm
 are kept. They are matched through an inverted index from token to rules, without a shuffle.
 
 A URL that is null or has no "://" has an empty host and path, no tokens, and is allowed. With no
-labelled rows, or none that are bad, nothing is mined.
+labelled rows, or none that are bad, nothing is mined. Repeated rows are judged each for itself, ids may be null, and
+other columns are not read, whatever their names.
+
+What is mined reaches the driver: combinations that hold in at least the support's share of rows. Tokens of one URL
+are few, and with a support of 0.2 % at most 500 tokens of each place of a URL can be frequent.
 """
 
 from __future__ import annotations

@@ -46,6 +46,23 @@ def test_documents_without_any_label_stay(spark, docs, doc_rows):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(r[0] for r in doc_rows if r[1] and any(map(str.isalpha, r[1])))
 
 
+def test_run_gives_what_the_stages_give_and_leaves_little(spark, tmp_path, docs):
+    import os
+
+    from emberlog.llm import common
+
+    docs.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    df = docs
+    for _, stage in corpus_pipeline.STAGES:
+        df = stage(spark, df, "").cache()
+    count = common.tables_made()
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    names = "doc_id", "piece", "start", "length", "ids_crc32"
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(map(tuple, df.select(*names).collect()))
+    left = [p for p in common._MADE[count:] if os.path.isdir(p.removeprefix("file://").removeprefix("file:"))]
+    assert len(left) == 2  # the packing stage's pieces, and the table that it reads
+
+
 def test_an_empty_table_passes(spark, none):
     df = none
     for _, stage in corpus_pipeline.STAGES:
