@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import exact_dedup, jaccard, language, packing, secrets
-from emberlog.llm.common import freed, held, stored, table
+from emberlog.llm.common import drop_since, drop_stored, freed, held, stored, table, tables_made
 from emberlog.shipping import ship
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -68,9 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in a row. What a stage leaves in the shared folder beside its result goes once that is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        count, before = tables_made(), docs
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = stored(docs, name)
+            drop_since(docs, count)
+            drop_stored(before)
     return docs
