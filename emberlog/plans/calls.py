@@ -7,6 +7,7 @@ $call_static has no block: its result is the same at every block.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -20,6 +21,7 @@ from emberlog.functions.keccak import keccak256
 from emberlog.operators.lookup import with_calls
 from emberlog.plans import expr
 from emberlog.plans.values import split_args
+from emberlog.sources import abi
 
 _START = re.compile(r"\$call(_static)?\(")
 _ACCESS = re.compile(r"(?:\[\d+\]|\.\w+)+")
@@ -71,16 +73,31 @@ def find_calls(text: str) -> list[Call]:
     return out
 
 
-def _word(c: Column, kind: str) -> Column:
-    """An argument of a static type as 64 hex digits; null if it does not fit."""
+def _words(c: Column, kind: str) -> Column:
+    """An argument as hex digits, without the offset of one of changing length; null if it does not fit its type."""
     if kind == "bool":
         return F.lpad(c.cast("boolean").cast("int").cast("string"), 64, "0")
-    if kind in ("bytes", "string") or kind.endswith("]"):
-        raise expr.ExprError(f"arguments of type {kind} are not supported")
-    if kind.startswith("bytes"):
-        return F.rpad(F.lower(F.regexp_replace(c.cast("string"), "^0x", "")), 64, "0")
-    digits = u256.parsed(c.cast("string"))
-    return F.when(~digits.startswith("-"), digits)
+    if kind == "string":
+        raw = F.lower(F.hex(F.encode(c.cast("string"), "utf-8")))
+        return F.concat(_count(F.length(raw) / 2), F.rpad(raw, F.ceil(F.length(raw) / 64) * 64, F.lit("0")))
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        own = abi.Param("", kind)
+        out = []
+        for t in texts:
+            try:
+                out.append(None if t is None else abi.encode([own], [json.loads(t) if listed else t]).hex()[64 * abi.is_dynamic(own) :])
+            except (ValueError, TypeError):
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    listed = kind.endswith("]")
+    return run(c if listed else c.cast("string"))
+
+
+def _count(c: Column) -> Column:
+    return F.lpad(F.lower(F.hex(c.cast("long"))), 64, "0")
 
 
 def _value(text: str, find: expr.Resolve) -> Column:
@@ -91,8 +108,20 @@ def _value(text: str, find: expr.Resolve) -> Column:
 def requested(call: Call, find: expr.Resolve) -> tuple[Column, Column]:
     """(target, calldata) of a call; both lower-case 0x text."""
     kinds = [k for k in call.signature[call.signature.index("(") + 1 : -1].split(",") if k]
-    words = [_word(_value(a, find), k) for a, k in zip(call.args, kinds, strict=True)]
-    return F.lower(_value(call.target, find).cast("string")), F.concat(F.lit("0x" + call.selector), *words)
+    own = [abi.Param("", k) for k in kinds]
+    given = [(_value(a, find), k) for a, k in zip(call.args, kinds, strict=True)]
+    # Arrays travel as JSON, whether they are columns or written out.
+    listed = [F.to_json(c) if k.endswith("]") and a.strip().startswith("$") else c for a, (c, k) in zip(call.args, given, strict=True)]
+    words = [_words(c, k) for c, k in zip(listed, kinds, strict=True)]
+    at, head, tail = F.lit(sum(map(abi.head_size, own))), [], []
+    for p, w in zip(own, words, strict=True):
+        if abi.is_dynamic(p):
+            head.append(_count(at))
+            tail.append(w)
+            at = at + F.length(w) / 2
+        else:
+            head.append(w)
+    return F.lower(_value(call.target, find).cast("string")), F.concat(F.lit("0x" + call.selector), *head, *tail)
 
 
 def resolve(df: DataFrame, text: str, results: Callable[[DataFrame], DataFrame], decode: Callable[[Column, Call], Column] | None = None, network: str = "network", block: str = "evt_block_number", first: int = 0) -> tuple[DataFrame, str]:
@@ -142,8 +171,6 @@ def _decoded(c: Column, call: Call) -> Column:
 
 
 def _guessed(c: Column) -> Column:
-    from emberlog.sources import abi
-
     @F.pandas_udf("string")
     def run(results: pd.Series) -> pd.Series:
         out = []

@@ -67,12 +67,13 @@ def is_dynamic(p: Param) -> bool:
     return p.type in ("bytes", "string")
 
 
-def _head_size(p: Param) -> int:
+def head_size(p: Param) -> int:
+    """Bytes that a value has among the heads."""
     if is_dynamic(p):
         return 32
     if array := _array_of(p.type):
-        return array[1] * _head_size(Param(p.name, array[0], False, p.parts))
-    return sum(map(_head_size, p.parts)) if p.type == "tuple" else 32
+        return array[1] * head_size(Param(p.name, array[0], False, p.parts))
+    return sum(map(head_size, p.parts)) if p.type == "tuple" else 32
 
 
 class DecodeError(ValueError):
@@ -127,10 +128,59 @@ def decode(params: list[Param], data: bytes) -> list:
     out, at = [], 0
     for p in params:
         out.append(_value(p, data, _number(data, at) if is_dynamic(p) else at))
-        at += _head_size(p)
+        at += head_size(p)
     return out
 
 
+class EncodeError(ValueError):
+    """A value that its ABI type does not hold."""
+
+
+def _encoded(p: Param, v) -> bytes:
+    if array := _array_of(p.type):
+        if not isinstance(v, (list, tuple)) or array[1] not in (None, len(v)):
+            raise EncodeError(f"{v!r} is no {p.type}")
+        body = encode([Param("", array[0], False, p.parts)] * len(v), list(v))
+        return body if array[1] is not None else len(v).to_bytes(32, "big") + body
+    if p.type == "tuple":
+        given = [v.get(part.name or str(k)) for k, part in enumerate(p.parts)] if isinstance(v, dict) else list(v)
+        return encode(list(p.parts), given)
+    if p.type in ("bytes", "string"):
+        raw = str(v).encode() if p.type == "string" else bytes.fromhex(str(v).removeprefix("0x"))
+        return len(raw).to_bytes(32, "big") + raw + bytes(-len(raw) % 32)
+    if p.type == "bool":
+        return int(v in (True, 1, "true", "1")).to_bytes(32, "big")
+    if p.type.startswith("bytes"):
+        raw = bytes.fromhex(str(v).removeprefix("0x"))
+        if len(raw) > int(p.type[5:]):
+            raise EncodeError(f"{v!r} is no {p.type}")
+        return raw.ljust(32, b"\0")
+    n = v if isinstance(v, int) else u256.number(str(v))
+    if n is None or isinstance(v, bool):
+        raise EncodeError(f"{v!r} is no {p.type}")
+    bits = 160 if p.type == "address" else int(p.type.lstrip("uint") or 256)
+    low, high = (-(1 << bits - 1), 1 << bits - 1) if p.type.startswith("int") else (0, 1 << bits)
+    if not low <= n < high:
+        raise EncodeError(f"{v!r} is no {p.type}")
+    return n.to_bytes(32, "big", signed=n < 0)
+
+
+def encode(params: list[Param], values: list) -> bytes:
+    """What decode() reads: heads in a row, and behind them what is of changing length."""
+    if len(params) != len(values) or any(v is None for v in values):
+        raise EncodeError("a value is missing")
+    head, tail, at = [], [], sum(map(head_size, params))
+    for p, v in zip(params, values, strict=True):
+        own = _encoded(p, v)
+        if is_dynamic(p):
+            head.append(at.to_bytes(32, "big"))
+            tail.append(own)
+            at += len(own)
+        else:
+            head.append(own)
+    return b"".join(head + tail)
+
+
 def spark_type(p: Param) -> str:
     if array := _array_of(p.type):
         return f"array<{spark_type(Param('', array[0], False, p.parts))}>"

@@ -181,3 +181,30 @@ def test_sinks(spark, tmp_path):
     assert {k: sum(r[k] for r in sinks.deliver(df, send, 1).collect()) for k in ("sent", "failed")} == {"sent": 1, "failed": 1}
     grown, unsafe = sinks.evolve(df, {"network": "string", "block_number": "int", "extra": "string"})
     assert "extra" in grown.columns and unsafe == ["message: gone", "block_number: bigint to int"]
+
+
+def test_encoding_is_read_back():
+    point = abi.Param("at", "tuple", False, (abi.Param("user", "uint64"), abi.Param("name", "string")))
+    params = [abi.Param("a", "string"), abi.Param("b", "uint8[]"), abi.Param("c", "int16"), abi.Param("d", "bytes"), abi.Param("e", "string[2]"), point, abi.Param("f", "uint256[2][]"), abi.Param("g", "bytes4"), abi.Param("h", "address"), abi.Param("i", "bool")]
+    rows = [
+        ["", [], "-1", "0x", ["", ""], {"user": "0", "name": ""}, [], "0x00000000", "0x" + "0" * 40, False],
+        ["é" * 40, ["1", "255"], "-32768", "0x" + "ab" * 33, ["x", "y" * 64], {"user": "7", "name": "n" * 32}, [["1", str(2**256 - 1)], ["0", "5"]], "0xdeadbeef", "0x" + "f" * 40, True],
+    ]
+    for row in rows:
+        assert abi.decode(params, abi.encode(params, row)) == row
+    for kind, v in [("uint8", 256), ("uint8", -1), ("int8", 128), ("uint256", "x"), ("uint8[2]", [1]), ("bytes4", "0x" + "00" * 5), ("address", 1 << 160), ("uint8[]", 5), ("string", None)]:
+        with pytest.raises((abi.EncodeError, ValueError)):
+            abi.encode([abi.Param("", kind)], [v])
+
+
+def test_calls_take_text_arrays_and_negative_numbers(spark):
+    from emberlog.plans import calls, expr
+
+    df = spark.createDataFrame([("0xAA", "é" * 40, [1, 2], "0x0102"), ("0xAA", "", [], "0x"), ("0xAA", None, [300], "0x01")], "token string, s string, a array<int>, raw string")
+    kinds = ["string", "uint8[]", "int8", "bytes", "bool", "uint16[2]"]
+    (call,) = calls.find_calls(f"$call($token, \"f({','.join(kinds)})\", $s, $a, -1, $raw, true, '[3, 4]')")
+    got = [r["data"] for r in df.select(calls.requested(call, expr.resolver(df.schema))[1].alias("data")).collect()]
+    params = [abi.Param("", k) for k in kinds]
+    for data, row in zip(got, [["é" * 40, [1, 2], -1, "0x0102", True, [3, 4]], ["", [], -1, "0x", True, [3, 4]]], strict=False):
+        assert data == "0x" + call.selector + abi.encode(params, row).hex()
+    assert got[2] is None  # a null, and a number too large for its type
