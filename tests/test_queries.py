@@ -9,7 +9,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from emberlog import queries
+from emberlog import log_queries as queries
 
 DATA = "/root/testdata/sf0.001"
 
