@@ -8,7 +8,7 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.operators.cron import synthetic
@@ -117,9 +117,9 @@ def times(text: str, start: datetime.datetime, end: datetime.datetime) -> Iterat
         yield start
 
 
-def live_rows(addresses: DataFrame, block: int, at: datetime.datetime) -> DataFrame:
+def live_rows(addresses: DataFrame, block: int | Column, at: datetime.datetime) -> DataFrame:
     """addresses with a synthetic event for each row at the head: its block, zero hashes, the time of the tick."""
-    return synthetic(addresses.withColumn("tick", F.lit(block).cast("long"))).withColumn("evt_block_timestamp", F.lit(at).cast("timestamp"))
+    return synthetic(addresses.withColumn("tick", (block if isinstance(block, Column) else F.lit(block)).cast("long"))).withColumn("evt_block_timestamp", F.lit(at).cast("timestamp"))
 
 
 def _now() -> datetime.datetime:

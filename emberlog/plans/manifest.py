@@ -61,6 +61,18 @@ class Event:
     iterate: tuple[tuple[str, str], ...] = ()  # (array path, alias)
 
 
+@dataclass(frozen=True)
+class Cron:
+    """Operations by time: they are those of the event of this name."""
+
+    event: str
+    due: str  # an interval or a cron expression
+    network: str | None = None  # None: all
+    start: int | None = None  # blocks that are sampled before the live ticks
+    end: int | None = None
+    every: int = 1
+
+
 @dataclass(frozen=True)
 class Table:
     name: str
@@ -69,6 +81,7 @@ class Table:
     is_global: bool = False
     cross_network: bool = False
     timestamp: bool = False
+    crons: tuple[Cron, ...] = ()
 
     @property
     def operations(self) -> list[Operation]:
@@ -133,8 +146,14 @@ def infer_type(value: str, fields: Mapping[str, str], default: Any = None) -> st
 def table(spec: Mapping, fields: Mapping[str, Mapping[str, str]] | None = None) -> Table:
     """A Table from its dict form, with types inferred from fields: {event: {field: type}}."""
     fields = fields or {}
-    events = []
-    for e in spec["events"]:
+    events, crons = [], []
+    for k, c in enumerate(spec.get("cron") or []):
+        if bool(c.get("interval")) == bool(c.get("schedule")):
+            raise ManifestError(f"table {spec['name']}: a cron needs an interval or a schedule")
+        block = lambda name: None if c.get(name) is None else int(c[name])  # noqa: B023, E731
+        crons.append(Cron(f"cron_{k}", c.get("interval") or c["schedule"], c.get("network"), block("start_block"), block("end_block"), block("block_interval") or 1))
+    given = [*(spec.get("events") or []), *({"event": c.event, "operations": s["operations"]} for c, s in zip(crons, spec.get("cron") or [], strict=True))]
+    for e in given:
         ops = []
         for o in e.get("operations", e.get("table", [])):
             sets = tuple(Set(s["column"], s.get("action", "set"), str(s.get("value", "1"))) for s in o.get("set", []))
@@ -149,7 +168,7 @@ def table(spec: Mapping, fields: Mapping[str, Mapping[str, str]] | None = None)
                 raise ManifestError(f"table {spec['name']}: column {c['name']!r} has no type and no value")
             kind = infer_type(uses[0][1], fields.get(uses[0][0], {}), c.get("default"))
         columns.append(Column(c["name"], kind, c.get("default"), bool(c.get("nullable"))))
-    out = Table(spec["name"], tuple(columns), tuple(events), bool(spec.get("global")), bool(spec.get("cross_chain", spec.get("cross_network"))), bool(spec.get("timestamp")))
+    out = Table(spec["name"], tuple(columns), tuple(events), bool(spec.get("global")), bool(spec.get("cross_chain", spec.get("cross_network"))), bool(spec.get("timestamp")), tuple(crons))
     out = with_metadata(out) if spec.get("metadata") else out
     check(out)
     return out

@@ -17,15 +17,19 @@ from emberlog.streaming.state import BUCKET, Store
 Sink = Callable[[DataFrame, int], None]
 
 
-def fold_into(store: Store, events: Mapping[str, DataFrame], table: Table, batch: int, constants: Mapping | None = None, results: Results | None = None) -> None:
-    """One batch into a table: appended, or folded into the buckets that its keys fall into."""
-    if store.batch >= batch:
+def fold_into(store: Store, events: Mapping[str, DataFrame], table: Table, batch: int | None, constants: Mapping | None = None, results: Results | None = None, meta: dict | None = None) -> None:
+    """One batch into a table: appended, or folded into the buckets that its keys fall into. batch None is beside the stream's batches."""
+    if batch is not None and store.batch >= batch:
         return
     if table.insert_only:
-        store.append(fold(events, table, None, constants, results), batch)
+        store.append(fold(events, table, None, constants, results), batch, meta)
         return
     if not table.keys:
-        store.write(fold(events, table, store.read(), constants, results), batch)
+        folded = fold(events, table, store.read(), constants, results)
+        if batch is None:
+            store.replace(folded, meta)
+        else:
+            store.write(folded, batch, meta)
         return
     rows = operation_rows(events, table, constants, results)
     ordered = in_order(table)
@@ -34,7 +38,7 @@ def fold_into(store: Store, events: Mapping[str, DataFrame], table: Table, batch
         touched = [r[0] for r in reduced.select(BUCKET).distinct().collect()]  # at most as many as there are buckets
         state = store.read(touched)
         merged = fold_rows(reduced.drop(BUCKET), table, state) if ordered else merge(reduced.drop(BUCKET), table, state)
-        store.merge_buckets(merged, touched, batch, table.keys)
+        store.merge_buckets(merged, touched, batch, table.keys, meta)
     finally:
         reduced.unpersist()
 

@@ -97,14 +97,16 @@ class Store:
             folders = {"": [version]}
         self._commit(now, folders, df.schema, batch, meta)
 
-    def append(self, df: DataFrame, batch: int, meta: dict | None = None) -> None:
-        """Adds rows as of a batch."""
+    def append(self, df: DataFrame, batch: int | None, meta: dict | None = None) -> None:
+        """Adds rows as of a batch, or without one of its own."""
         now = self._pointer()
-        if batch <= now["batch"]:
+        if batch is None:
+            batch = now["batch"]
+        elif batch <= now["batch"]:
             return
         parts = now["folders"].get("", [])
         if len(parts) >= MOST_PARTS:
-            self.write(self.read().unionByName(df), batch, meta)
+            self._write(now, self.read().unionByName(df), batch, meta, None)
             return
         version = self._version(batch)
         df.write.parquet(f"{self.path}/{version}")
@@ -116,10 +118,12 @@ class Store:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/{version}"))]
         return {n.split("=")[1]: [f"{version}/{n}"] for n in names if n.startswith(f"{BUCKET}=")}
 
-    def merge_buckets(self, df: DataFrame, touched: list[int], batch: int, keys: list[str], meta: dict | None = None) -> None:
-        """Puts df in the place of the touched buckets; the others stay as they are."""
+    def merge_buckets(self, df: DataFrame, touched: list[int], batch: int | None, keys: list[str], meta: dict | None = None) -> None:
+        """Puts df in the place of the touched buckets, as of a batch or without one of its own; the others stay as they are."""
         now = self._pointer()
-        if batch <= now["batch"]:
+        if batch is None:
+            batch = now["batch"]
+        elif batch <= now["batch"]:
             return
         fresh = self._bucketed(df.withColumn(BUCKET, self.bucket_of(keys)), batch)
         kept = {b: f for b, f in now["folders"].items() if b and int(b) not in touched}

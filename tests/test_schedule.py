@@ -62,3 +62,52 @@ def test_live_loop_and_rows(spark):
     rows = df.collect()
     assert {r["address"] for r in rows} == {"0xa", "0xb"} and {r["evt_block_number"] for r in rows} == {77} and {r["evt_log_index"] for r in rows} == {0}
     assert {r["evt_tx_hash"] for r in rows} == {"0x" + "0" * 64} and all(r["evt_block_timestamp"].year == 2024 for r in rows)
+
+
+PROGRAM = """
+name: demo
+networks: [{name: main}, {name: side}]
+contracts:
+  - name: Pool
+    details: [{network: main, address: ["0xAA", "0xBB"]}, {network: side, address: "0xCC"}]
+    abi: [{type: event, name: Used, inputs: [{name: x, type: uint256}]}]
+    tables:
+      - name: prices
+        timestamp: true
+        columns: [{name: pool, type: string}, {name: price, type: uint256}, {name: n, type: int64, default: 0}]
+        cron:
+          - interval: 5m
+            operations:
+              - {type: upsert, where: {pool: $contract}, set: [{column: price, value: '$call($contract, "price() returns (uint256)")'}, {column: n, action: increment}]}
+      - name: samples
+        columns: [{name: pool, type: string}, {name: at, type: int64}]
+        cron:
+          - schedule: "0 * * * *"
+            network: main
+            start_block: 10
+            block_interval: 10
+            operations: [{type: insert, set: [{column: pool, value: $contract}, {column: at, value: $evt_block_number}]}]
+"""
+
+
+def test_crons_of_a_program(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from emberlog.functions import u256
+    from emberlog.plans import manifest
+    from emberlog.streaming.runner import Runner
+
+    answered = lambda asked: asked.withColumn("result", F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(F.col("block") * 2)), 64, "0")))
+    make = lambda: Runner(spark, manifest.load(PROGRAM), str(tmp_path), results=answered, buckets=4)
+    make().replay({"main": 35, "side": 100})
+    make().replay({"main": 45, "side": 100})  # a restart samples no history again
+    make().tick(at(2024, 1, 1, 0, 5), {"main": 40, "side": 100}, "5m")
+    make().tick(at(2024, 1, 1, 0, 5), {"main": 41, "side": 101}, "5m")  # the same tick once more
+    make().tick(at(2024, 1, 1, 1, 0), {"main": 50})
+    runner = make()
+    got = {(r["network"], r["pool"]): (r["p"], r["n"]) for r in runner.table("prices").read().withColumn("p", u256.to_decimal(F.col("price"))).collect()}
+    assert got == {("main", "0xaa"): ("100", 2), ("main", "0xbb"): ("100", 2), ("side", "0xcc"): ("200", 1)}
+    samples = sorted((r["pool"], r["at"]) for r in runner.table("samples").read().collect())
+    assert samples == [(p, b) for p in ("0xaa", "0xbb") for b in (10, 20, 30, 50)]
+    with pytest.raises(manifest.ManifestError):
+        manifest.load(PROGRAM.replace("interval: 5m", "network: main"))
