@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,29 @@ def alive(rows: DataFrame, born: DataFrame, key: str) -> DataFrame:
     return rows.join(born, key).where(F.col("tick") >= F.col("birth")).drop("birth")
 
 
+def sampled(values: DataFrame, key: list[str], at: str, every: int, end: int | None, chunk: int = 4096) -> DataFrame:
+    """(key, tick, value): the latest of values (key, at, value) at every tick (0, every, …) up to end, from each key's first row on.
+
+    The same as alive() and as_of() over ticks(), but ticks are made last and are never shuffled, sorted or joined: rows are
+    thinned out to one for each key and tick that follows them, a value holds until the next such tick, and the ticks
+    between are spread out on the way to the output, at most chunk at a time. A null value leaves the one before it; a null
+    key has ticks but no values, as an equality join would have it.
+    """
+    from pyspark.sql import Window
+
+    named = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in key))
+    below = F.col(at) - F.pmod(F.col(at), F.lit(every))
+    tick = F.greatest(F.when(below == F.col(at), below).otherwise(below + every), F.lit(0)).cast("long")
+    seen = values.where(F.col(at) <= F.lit(end).cast("long")).select(*key, tick.alias("_from"), at, F.when(named, F.col("value")).alias("value"))
+    steps = seen.where(F.col("_from") <= F.lit(end).cast("long")).groupBy(*key, "_from").agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col(at))).alias("_v"))
+    order = Window.partitionBy(*key).orderBy("_from")
+    until = F.coalesce(F.lead("_from").over(order) - every, F.lit(end).cast("long"))
+    held = steps.select(*key, "_from", until.alias("_until"), F.last("_v", True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("value"))
+    chunks = held.withColumn("_first", F.explode(F.sequence("_from", "_until", F.lit(every * chunk).cast("long"))))
+    last = F.least(F.col("_first") + every * (chunk - 1), F.col("_until"))
+    return chunks.select(*key, F.explode(F.sequence("_first", last, F.lit(every).cast("long"))).alias("tick"), "value")
+
+
 def as_of(rows: DataFrame, values: DataFrame, key: list[str], at: str, bucket: int) -> DataFrame:
     """rows with the latest of values (key, at, value) at or before their tick.
 
